@@ -3,9 +3,9 @@
 A line is boilerplate of a host if more than `ratio` of the host's pages hold it, and at
 least `least` pages do.  Lines are counted once a page (array_distinct, no shuffle) and by
 digest, with partial counts before the shuffle, so a hot host is no more than one
-counter a line and task.  Pages then get the positions of their boilerplate lines by a
-join on (host, digest), and only those positions travel back to the page: the texts are
-shuffled only if the positions are more than Spark's broadcast limit.
+counter a line and task.  What is found is a short list a host: it holds at most the lines a
+page / ratio.  Pages meet their host's list in an ordinary join: Spark broadcasts the lists, and
+moves no text, as long as they are under its limit, and else sorts both sides and splits hot hosts.
 
 A line is what stands between line feeds, with white space around it ignored; blank lines are never
 boilerplate.  Null texts stay null, a null host is a host of its own, repeated
@@ -44,25 +44,18 @@ def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", rati
     return held.where(F.col("pages") > ratio * F.col("total")).select("c.host", "key", "pages", (F.col("pages") / F.col("total")).alias("share"))
 
 
-def drop_lines(pages: DataFrame, folder: str, doc_id: str = "doc_id", host: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST) -> DataFrame:
+def drop_lines(pages: DataFrame, folder: str, host: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST) -> DataFrame:
     """`pages` with their boilerplate lines taken out, and the added column `dropped_lines`
     (which replaces a column of that name)."""
-    found = materialize(boilerplate(pages, host, text, ratio, least), folder, "boilerplate")
-    slim = pages.where(F.col(text).isNotNull()).select(
-        F.col(doc_id).alias("id"), F.col(host).alias("host"), F.unhex(F.md5(text)).alias("digest"), F.transform(_lines(F.col(text)), _key).alias("keys")
-    )
-    at = slim.select("id", "host", "digest", F.posexplode("keys").alias("at", "key")).where("key IS NOT NULL")
-    hit = at.join(found.select(F.col("host").alias("h"), F.col("key").alias("k")), F.col("key").eqNullSafe(F.col("k")) & F.col("host").eqNullSafe(F.col("h")), "left_semi")
-    # rows that repeat (id, host and text) give each position more than once
-    drops = hit.groupBy("id", "host", "digest").agg(F.collect_set("at").alias("drop_at"))
-    drops = materialize(drops, folder, "drops").alias("d")
-    joined = pages.alias("p").join(
-        drops, F.col(f"p.{doc_id}").eqNullSafe(F.col("d.id")) & F.col(f"p.{host}").eqNullSafe(F.col("d.host")) & (F.unhex(F.md5(f"p.{text}")) == F.col("d.digest")), "left"
-    )
-    kept = F.filter(_lines(F.col(f"p.{text}")), lambda line, i: ~F.array_contains("d.drop_at", i))
-    cleaned = F.when(F.col("d.drop_at").isNull(), F.col(f"p.{text}")).otherwise(F.array_join(kept, "\n"))
+    found = boilerplate(pages, host, text, ratio, least).groupBy("host").agg(F.collect_list("key").alias("keys"))  # a host's list is bounded
+    found = materialize(found, folder, "boilerplate").alias("b")
+    joined = pages.alias("p").join(found, F.col(f"p.{host}").eqNullSafe(F.col("b.host")), "left")
+    lines = _lines(F.col(f"p.{text}"))
+    kept = F.filter(lines, lambda line: ~F.coalesce(F.array_contains("b.keys", _key(line)), F.lit(False)))
+    clean = F.col("b.keys").isNull() | F.col(f"p.{text}").isNull()
+    cleaned = F.when(clean, F.col(f"p.{text}")).otherwise(F.array_join(kept, "\n"))
     columns = [cleaned.alias(c) if c == text else F.col(f"p.`{c}`") for c in pages.columns if c != "dropped_lines"]
-    return joined.select(*columns, F.coalesce(F.size("d.drop_at"), F.lit(0)).alias("dropped_lines"))
+    return joined.select(*columns, F.when(clean, 0).otherwise(F.size(lines) - F.size(kept)).alias("dropped_lines"))
 
 
 #: DuckDB twin of the registered query, over `documents`.
