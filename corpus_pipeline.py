@@ -25,15 +25,11 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_dedup.drop_lines(docs, scratch(spark)).select(*docs.columns)
 
 
-#: Words of a shingle in the near-duplicate stage.
-STAGE_WORDS = 5
-
-
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id; documents without words are
-    no duplicates of anything and stay."""
-    found = simhash.near_duplicates(docs, scratch(spark), STAGE_WORDS)
-    rest = found.where("doc_id IS NOT NULL AND doc_id <> component_id AND fingerprint <> '0000000000000000'").select("doc_id").distinct()
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document with the smallest id;
+    documents without words or without an id are no duplicates of anything and stay."""
+    found = simhash.similar(docs, scratch(spark))
+    rest = found.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(rest, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -12,6 +12,11 @@ spanning forest of its links and never lists the pairs of a group: it gives at m
 edge a fingerprint.  Components then come from alternating large-star and small-star
 steps over these edges, each written to the shared folder.
 
+similar() is the same method for word-shingle similarity: near copies at a Jaccard similarity of 0.8
+differ in some 15 % of SimHash bits, far beyond a ball of 64-bit words.  There a document has
+256 bits.  PARTS words of 32 bits of it are the keys, each with a radius of four: every key emits all variants
+within two bits, and whatever meets on a variant is verified on all 256 bits.
+
 Null texts count as empty (fingerprint zero, linked like any other); repeated rows share a
 fingerprint and so a component; a null doc_id is kept and never names a component unless
 all of its component are null; other columns are ignored.
@@ -197,6 +202,114 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
     return nodes.unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
 
 
+WIDE, KEY_BITS, PARTS, HALF = 256, 32, 6, 2
+#: Fingerprints that a cell of similar() holds as its own, about.
+CELL = 8_000
+
+
+def wide_fingerprint(text: str | None, words: int = 5) -> bytes:
+    """256-bit SimHash as 32 bytes, from two 128-bit hashes a shingle; a text without words has none."""
+    import xxhash
+
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not tokens:
+        return b""
+    n = max(1, len(tokens) - words + 1)
+    joined = b" ".join(tokens)
+    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1)
+    begins = np.concatenate(([0], ends[:-1]))[:n].tolist()
+    ends = (ends[min(words, len(tokens)) - 1 :] - 1).tolist()
+    ones = np.zeros(WIDE, np.int64)
+    digest, chunk = xxhash.xxh3_128_digest, COUNT_AT_ONCE // 4
+    for at in range(0, n, chunk):
+        shingles = [joined[b:e] for b, e in zip(begins[at : at + chunk], ends[at : at + chunk], strict=True)]
+        hashes = np.frombuffer(b"".join([digest(x, SEED) + digest(x, SEED + 1) for x in shingles]), np.uint8).reshape(-1, WIDE // 8)
+        ones += np.unpackbits(hashes, axis=1).sum(axis=0, dtype=np.uint32)
+    return np.packbits(2 * ones > n).tobytes()
+
+
+def most_bits(similarity: float) -> int:
+    """Differing bits up to which two documents count as similar: what sets of that Jaccard similarity have on average, and one deviation."""
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return round(WIDE * p + (WIDE * p * (1 - p)) ** 0.5)
+
+
+def verified(values: np.ndarray, owners: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) among the owners of equal values: each with the first of its variant if that is near
+    enough, the rest among themselves in turn, until none is left."""
+    order = np.lexsort((owners, values))
+    values, owners = values[order], owners[order]
+    a, b = [], []
+    while len(values):
+        head = np.concatenate(([True], values[1:] != values[:-1]))
+        starts = np.flatnonzero(head)
+        lead = np.repeat(owners[starts], np.diff(np.append(starts, len(values))))
+        near = np.bitwise_count(fps[lead] ^ fps[owners]).sum(axis=1) <= most
+        pairs = np.unique(np.stack((lead[near & ~head], owners[near & ~head])), axis=1)
+        a.append(pairs[0])
+        b.append(pairs[1])
+        values, owners = values[~near], owners[~near]
+    none = np.empty(0, np.int64)
+    return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
+
+
+def similar_links(distinct: DataFrame, bits: int, most: int) -> DataFrame:
+    """Edges (a, b) of spanning forests of the verified links; `distinct` has node and fp (32 bytes)."""
+    ship(distinct.sparkSession)
+    low = KEY_BITS - bits
+    flips = [(int(m), k) for k in range(HALF + 1) for m in masks(bits, k)]
+    word = lambda k: F.conv(F.hex(F.substring("fp", 4 * k + 1, 4)), 16, 10).cast("long")
+    part = F.explode(F.array(*[F.struct(F.lit(k).alias("part"), word(k).alias("key")) for k in range(PARTS)]))
+    touched = F.explode(F.array(*[F.struct(F.lit(m).cast("long").alias("m"), F.lit(k).alias("apart")) for m, k in flips]))
+    dealt = distinct.select("node", "fp", part.alias("p")).select("node", "fp", "p.part", "p.key", touched.alias("c"))
+    dealt = dealt.select("part", F.shiftright("key", low).bitwiseXOR(F.col("c.m")).alias("cell"), "key", F.col("c.apart").alias("apart"), "node", "fp")
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+    def run(cell):  # a pyarrow Table in and out
+        nodes, apart = cell.column("node").to_numpy(), cell.column("apart").to_numpy()
+        order = np.argsort(nodes, kind="stable")
+        nodes, apart = nodes[order], apart[order]
+        fps = np.frombuffer(b"".join(cell.column("fp").to_pylist()), np.uint64).reshape(-1, WIDE // 64)[order]
+        rest = (cell.column("key").to_numpy()[order] & ((1 << low) - 1)).astype(np.uint32)
+        values, owners = [], []
+        for k in range(HALF + 1):
+            own = np.flatnonzero(apart <= HALF - k)
+            flipped = masks(low, k).astype(np.uint32)
+            values.append((rest[own, None] ^ flipped[None, :]).ravel())
+            owners.append(np.repeat(own.astype(np.int32), len(flipped)))
+        values, owners = np.concatenate(values), np.concatenate(owners)
+        slots = 1 << max(10, int(2 * len(values)).bit_length())
+        slot = (values * np.uint32(2654435761)) >> np.uint32(max(0, 33 - slots.bit_length()))
+        met = np.bincount(slot, minlength=1)[slot] > 1  # what no other variant can equal is sent off at once
+        a, b = verified(values[met], owners[met], fps, most)
+        rows, roots = spanning(a, b, len(nodes))
+        return pa.table({"a": nodes[rows], "b": nodes[roots]})
+
+    return dealt.groupBy("part", "cell").applyInArrow(run, schema)
+
+
+def similar(docs: DataFrame, folder: str, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, component_id (the smallest doc_id that similar texts lead to); texts without words stand alone, as do null ids."""
+    ship(docs.sparkSession)
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("fp", T.BinaryType())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([wide_fingerprint(t.as_py(), words) for t in batch.column(1)], pa.binary())], names=schema.names)
+
+    prints = docs.select("doc_id", "text").mapInArrow(run, schema).withColumn("node", F.xxhash64("fp"))
+    prints = materialize(prints, folder, "wide")
+    distinct = prints.where(F.length("fp") > 0).groupBy("node", "fp").agg(F.min("doc_id").alias("first"))
+    distinct = materialize(distinct, folder, "wide_distinct")
+    bits = int(min(16, max(2, np.ceil(np.log2(max(1, distinct.count()) / CELL)))))
+    found = components(similar_links(distinct.select("node", "fp"), bits, most_bits(similarity)), folder)
+    group = found.join(distinct, "node").groupBy("component").agg(F.min("first").alias("component_id"))
+    linked = found.join(group, "component").select("node", "component_id")
+    named = distinct.join(linked, "node", "left").select("node", F.coalesce("component_id", "first").alias("component_id"))
+    named = materialize(named, folder, "wide_named")
+    return prints.join(named, "node", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, folder: str, words: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id that links lead to."""
     prints = materialize(fingerprints(docs, words), folder, "fingerprints")
