@@ -1,0 +1,68 @@
+import datetime as dt
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from plumbline.sources import files
+
+
+def test_localized_csv(spark, tmp_path):
+    head = "Datum;Zeitzone;von;bis;unterdeckt;ueberdeckt\n"
+    body = "01.03.2024;UTC;00:00;00:15;1.234,56;-7,5\n01.03.2024; UTC;00:15;00:30; ;1.000.000\n"
+    (tmp_path / "a.csv").write_text(head + body)
+    got = files.localized_csv(spark, str(tmp_path / "a.csv"), ["unterdeckt", "ueberdeckt"]).orderBy("ts").collect()
+    assert [tuple(r) for r in got] == [(dt.datetime(2024, 3, 1), 1234.56, -7.5), (dt.datetime(2024, 3, 1, 0, 15), None, 1e6)]
+    (tmp_path / "b.csv").write_text(head + body.replace("UTC", "CET"))
+    with pytest.raises(ValueError, match="UTC"):
+        files.localized_csv(spark, str(tmp_path / "b.csv"), ["unterdeckt"])
+
+
+def test_monthly_files_keep_the_first_row_of_a_time(spark, tmp_path):
+    t = lambda h: dt.datetime(2024, 1, 1, h)
+    for month, rows in (("2024-01", [(t(0), 1.0), (t(0), 2.0), (t(1), 3.0)]), ("2024-02", [(t(1), 9.0), (t(2), 4.0)])):
+        spark.createDataFrame(rows, "ts timestamp, v double").coalesce(1).write.parquet(str(tmp_path / month))
+    got = files.monthly_series(spark, str(tmp_path / "*")).orderBy("ts").collect()
+    assert [r["v"] for r in got] == [1.0, 3.0, 4.0]
+
+
+def test_last_good_record_of_a_log(spark, tmp_path):
+    rec = lambda h, s, c: json.dumps({"req_hash": h, "status": s, "response": {"choice": c, "probabilities": {"a": 0.25}}})
+    (tmp_path / "log.jsonl").write_text("\n".join([rec("x", "ok", "a"), rec("x", "ok", "b"), rec("x", "error", "c"), rec("y", "ok", "d")]) + "\n")
+    got = files.last_records(spark, str(tmp_path / "log.jsonl")).orderBy("req_hash")
+    assert [r["response"]["choice"] for r in got.collect()] == ["b", "d"]
+    items = spark.createDataFrame([("x",), ("z",)], "req_hash string")
+    assert [r[0] for r in files.pending(items, got).collect()] == ["z"]
+
+
+def test_traces_read_their_columns_only(spark, tmp_path):
+    (tmp_path / "t.csv").write_bytes("Timer Tick [ms],Force [kN],Tür\n1,2.5,x\n".encode("latin-1"))
+    got = files.trace_csv(spark, str(tmp_path / "t.csv"), ["tick", "force"])
+    assert got.columns == ["Timer Tick [ms]", "Force [kN]"] and tuple(got.first()) == (1.0, 2.5)
+
+
+def test_header_block():
+    limits, long = files.header_block([["d1", "d2"], [10, 5], [0.1, 0.2], [-0.3, -0.2], [10.05, None], [9.9, 5.1]])
+    assert limits[0] == {"dimension": "d1", "nominal": 10.0, "upper": 10.1, "lower": 9.7}
+    assert len(long) == 4 and long[1]["value"] is None
+
+
+def test_absent_positions_repeat_the_one_before(spark):
+    df = spark.createDataFrame([("p", 5, 1, 1.0), ("p", 5, 4, 2.0)], "s string, n int, pos int, v double")
+    assert [r["v"] for r in files.filled_curve(df, "s", "n", "pos", "v").orderBy("pos").collect()] == [1.0, 1.0, 1.0, 2.0, 2.0]
+
+
+def test_sinks(spark, tmp_path):
+    rows = [(dt.datetime(2024, 1, 31, 23), float("nan")), (dt.datetime(2024, 2, 1), float("inf")), (dt.datetime(2024, 2, 2), 1.5)]
+    df = files.finite(spark.createDataFrame(rows, "ts timestamp, v double"))
+    assert [r["v"] for r in df.collect()] == [None, None, 1.5]
+    files.write_months(df, str(tmp_path / "m"))
+    files.write_months(df.where("v = 1.5"), str(tmp_path / "m"))
+    back = spark.read.parquet(str(tmp_path / "m"))
+    assert sorted((str(r["month"]), r["n"]) for r in back.groupBy("month").agg(F.count(F.lit(1)).alias("n")).collect()) == [("2024-01", 1), ("2024-02", 1)]
+    (tmp_path / "r").mkdir()
+    files.write_text(str(tmp_path / "r/a.txt"), ["x", "y"])
+    assert (tmp_path / "r/a.txt").read_bytes() == b"x\ny\n"
+    first = files.folder_digest(str(tmp_path / "r"))
+    files.write_text(str(tmp_path / "r/a.txt"), ["x", "z"])
+    assert first != files.folder_digest(str(tmp_path / "r"))
