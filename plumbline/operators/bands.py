@@ -110,3 +110,13 @@ def integrity(panel: DataFrame, *by: str) -> DataFrame:
         ((F.avg("fc") - F.avg("act")) / F.avg("act")).alias("bias"), F.count(F.lit(1)).alias("n"),
     )
     return g.withColumn("passes", (F.col("corr") >= 0.90) & (F.abs(F.col("slope") - 1) <= 0.15) & (F.abs("bias") <= 0.05))
+
+
+def two_regressors(df: DataFrame, y: str, a: str, b: str, *by: str) -> DataFrame:
+    """Coefficients, intercept and R2 of y on a and b by the normal equations, from one aggregate."""
+    full = df.dropna(subset=[y, a, b])
+    cov = lambda u, v, name: F.covar_samp(u, v).alias(name)
+    m = full.groupBy(*by).agg(cov(y, a, "ya"), cov(y, b, "yb"), cov(a, b, "ab"), cov(a, a, "aa"), cov(b, b, "bb"), cov(y, y, "yy"), F.avg(y).alias("my"), F.avg(a).alias("ma"), F.avg(b).alias("mb"))
+    det = F.expr("aa * bb - ab * ab")
+    m = m.withColumns({"coef_a": F.try_divide(F.expr("ya * bb - yb * ab"), det), "coef_b": F.try_divide(F.expr("yb * aa - ya * ab"), det)})
+    return m.select(*by, "coef_a", "coef_b", F.expr("my - coef_a * ma - coef_b * mb").alias("intercept"), F.expr("(coef_a * ya + coef_b * yb) / yy").alias("r2"))

@@ -179,6 +179,13 @@ def a16(spark: SparkSession, d: str) -> DataFrame:
     return _gate(B.integrity(S.ship_panel(spark, d).withColumn("year", F.year("date").cast("long")), "year"), "year")
 
 
+@query("a16_two_regressors", f"""WITH {S.SHIP}, m AS (SELECT slot, covar_samp(act, fc) AS ya, covar_samp(act, da) AS yb, covar_samp(fc, da) AS ab, var_samp(fc) AS aa, var_samp(da) AS bb, var_samp(act) AS yy, avg(act) AS my, avg(fc) AS ma, avg(da) AS mb
+  FROM panel WHERE act IS NOT NULL AND fc IS NOT NULL AND da IS NOT NULL GROUP BY slot), c AS (SELECT *, (ya * bb - yb * ab) / (aa * bb - ab * ab) AS ca, (yb * aa - ya * ab) / (aa * bb - ab * ab) AS cb FROM m)
+SELECT slot, round(ca, 6) AS coef_a, round(cb, 6) AS coef_b, round(my - ca * ma - cb * mb, 4) AS intercept, round((ca * ya + cb * yb) / yy, 6) AS r2 FROM c""")
+def a16_two(spark: SparkSession, d: str) -> DataFrame:
+    return B.two_regressors(S.ship_panel(spark, d), "act", "fc", "da", "slot").select("slot", _r("coef_a"), _r("coef_b"), _r("intercept", 4), _r("r2"))
+
+
 @query("a17_variance_split", f"""WITH {S.SHIP}, g AS (SELECT *, avg(act) OVER (PARTITION BY slot) AS ms, avg(act) OVER (PARTITION BY slot, month(date)) AS mm FROM panel WHERE act IS NOT NULL)
 SELECT round(1 - var_samp(act - ms) / var_samp(act), 6) AS slot_share, round(1 - var_samp(act - mm) / var_samp(act), 6) AS slot_month_share FROM g""")
 def a17(spark: SparkSession, d: str) -> DataFrame:

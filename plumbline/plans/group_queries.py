@@ -337,7 +337,7 @@ def t9(spark: SparkSession, d: str) -> DataFrame:
     return x.crossJoin(F.broadcast(nulls)).groupBy("null", "alpha").applyInPandas(run, "null string, alpha double, z1 double, p double, green double, yellow double, zone string")  # four nulls
 
 
-@query("t15_t16_t28_distribution_functions")
+@query("t15_t16_distribution_functions")
 def t15(spark: SparkSession, d: str) -> DataFrame:
     """Quantile, cdf of it and shortfall of a normal and two t distributions."""
     from plumbline.functions.dist import table
@@ -345,15 +345,41 @@ def t15(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(table([0.01, 0.025, 0.05], [None, 8.0, 5.0]), "nu double, p double, quantile double, cdf double, es double")
 
 
+@query("t28_exact_null_stability")
+def t28(spark: SparkSession, d: str) -> DataFrame:
+    """5th percentiles of Z1 and Z2 when a model states the true VaR and ES; a task a (tail, distribution)."""
+    shipped(spark)
+    cells = spark.createDataFrame([(a, nu) for a in (0.01, 0.025) for nu in (4.0, 8.0, 1e6)], "alpha double, nu double")
+
+    def run(pdf):
+        import numpy as np
+        import pandas as pd
+
+        from plumbline.functions import dist
+
+        alpha, nu = float(pdf["alpha"].iloc[0]), float(pdf["nu"].iloc[0])
+        var, es = dist.t_quantile(alpha, nu), dist.t_es(alpha, nu)
+        x = np.random.default_rng(int(nu) + int(1e4 * alpha)).standard_t(nu, (2000, 500))
+        hit, ratio = x < var, x / abs(es)
+        total = np.where(hit, ratio, 0).sum(1)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            z1 = total / hit.sum(1) + 1
+        z2 = total / (500 * alpha) + 1
+        return pd.DataFrame({"alpha": [alpha], "nu": [nu], "z1_p5": [float(np.nanpercentile(z1, 5))], "z2_p5": [float(np.percentile(z2, 5))]})
+
+    return cells.groupBy("alpha", "nu").applyInPandas(run, "alpha double, nu double, z1_p5 double, z2_p5 double")
+
+
 @query("m15_m18_m20_clustered_simulation")
 def m18(spark: SparkSession, d: str) -> DataFrame:
-    """Coverage of row-split and group-split conformal radii when rows of a cluster share an effect."""
+    """Coverage of conformal radii calibrated on rows, on whole groups, and on groups into which half the test's rows leak, when rows of a cluster share an effect."""
     rows = spark.range(24).withColumnRenamed("id", "g").crossJoin(spark.range(10).withColumnRenamed("id", "t")).crossJoin(spark.createDataFrame([(r,) for r in (0.0, 0.4, 0.8)], "rho double")).crossJoin(spark.range(20).withColumnRenamed("id", "rep"))
     normal = lambda *k: F.sqrt(-2 * F.log(R.uniform(k[0], *k[1:]))) * F.cos(2 * math.pi * R.uniform(k[0] + "b", *k[1:]))
     a = F.sqrt("rho") * normal("effect", "rep", "g") + F.sqrt(1 - F.col("rho")) * normal("noise", "rep", "g", "t")
     x = rows.select("rho", "rep", "g", "t", F.abs(a).alias("a"))
     out = None
-    for name, cal in (("row", F.col("t") % 2 == 0), ("group", F.col("g") % 2 == 0)):
+    half = F.col("t") % 2 == 0
+    for name, cal in (("row", half), ("group", F.col("g") % 2 == 0), ("leaky", (F.col("g") % 2 == 0) | half)):
         radius = G.conformal_higher(x.where(cal), "a", 0.1, "rho", "rep")
         one = x.where(~cal).join(radius, ["rho", "rep"]).groupBy("rho").agg(F.avg((F.col("a") <= F.col("radius")).cast("double")).alias("coverage")).select(F.lit(name).alias("split"), "rho", "coverage")
         out = one if out is None else out.unionByName(one)

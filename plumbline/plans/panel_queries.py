@@ -57,6 +57,17 @@ def s13(spark: SparkSession, d: str) -> DataFrame:
     return one("a").join(one("n"), "date").join(one("r"), "date")
 
 
+@query("s14_filtered_first_records", """
+SELECT user_id, event_id, value FROM (
+  SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events
+  WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-25' AND value >= 20 AND NOT regexp_matches(event_type, '^(err|sign)')
+) WHERE k = 1""")
+def s14(spark: SparkSession, d: str) -> DataFrame:
+    """A date window, a floor, a pattern of what is left out, and one record a source."""
+    e = S.table(spark, d, "events").where("ts BETWEEN timestamp_ntz'2024-01-05' AND timestamp_ntz'2024-01-25' AND value >= 20").where(~F.col("event_type").rlike("^(err|sign)"))
+    return P.dedup_first(e, ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "value")
+
+
 @query("s19_w19_weekly_payload", f"""WITH {S.SHIP}, k AS (SELECT *, row_number() OVER (PARTITION BY slot ORDER BY date) AS r FROM panel WHERE act IS NOT NULL)
 SELECT slot, count(*) AS points, round(sum(act), 3) AS total, min(date) AS first FROM k WHERE (r - 1) % 5 = 0 GROUP BY slot""")
 def s19(spark: SparkSession, d: str) -> DataFrame:
