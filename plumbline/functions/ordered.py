@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.settle import settle
+
 
 def running(df: DataFrame, order: list[str], value: Column, name: str) -> DataFrame:
     """`df` with the sum of `value` over all rows before each row in a total order.
 
-    Only one row a partition meets in one place."""
+    Only one row a partition meets in one place.  The range partitions are settled before they are used twice: their
+    borders come from a sample, so a second computation could cut elsewhere."""
     parts = df.withColumn("v_", value).repartitionByRange(*[F.col(c) for c in order]).withColumn("part_", F.spark_partition_id())
     within = Window.partitionBy("part_").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    held = parts.withColumn("in_", F.coalesce(F.sum("v_").over(within), F.lit(0)))
+    held = settle(parts.withColumn("in_", F.coalesce(F.sum("v_").over(within), F.lit(0))))
     sums = held.groupBy("part_").agg(F.sum("v_").alias("s_"))
     before = sums.select("part_", (F.sum("s_").over(Window.orderBy("part_")) - F.col("s_")).alias("before_"))
     return held.join(before, "part_").withColumn(name, F.col("in_") + F.col("before_")).drop("v_", "part_", "in_", "before_")

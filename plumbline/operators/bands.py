@@ -84,7 +84,7 @@ def flag_expensive(scored: DataFrame, q: float = 0.80) -> DataFrame:
 def concentration(scored: DataFrame, *by: str) -> DataFrame:
     """Miss rate of expensive intervals over that of the others; null where the latter is zero."""
     miss = (~F.col("inside")).cast("double")
-    rates = scored.groupBy(*by).agg(F.avg(F.when(F.col("expensive"), miss)).alias("expensive_miss"), F.avg(F.when(~F.col("expensive"), miss)).alias("cheap_miss"))
+    rates = scored.groupBy(*by).agg(F.avg(F.when(F.col("expensive"), miss)).alias("expensive_miss"), F.avg(F.when(~F.col("expensive"), miss)).alias("cheap_miss"), F.count(F.when(F.col("expensive"), 1)).alias("n_expensive"))
     return rates.withColumn("concentration", F.try_divide("expensive_miss", "cheap_miss"))
 
 

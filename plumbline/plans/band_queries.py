@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.settle import settle
 from plumbline.operators import bands as B
 from plumbline.operators import panel as P
 from plumbline.plans.registry import query
@@ -41,7 +42,7 @@ def scored(spark: SparkSession, d: str) -> DataFrame:
 
 def priced(spark: SparkSession, d: str) -> DataFrame:
     """Unpriced rows go after the bands are made, as they are part of the history."""
-    return B.flag_expensive(scored(spark, d).withColumn("adverse", B.adverse_spread()).where("adverse IS NOT NULL"))
+    return B.flag_expensive(settle(scored(spark, d).withColumn("adverse", B.adverse_spread()).where("adverse IS NOT NULL")))
 
 
 def _r(name: str, digits: int = 6):
@@ -128,9 +129,7 @@ def a7(spark: SparkSession, d: str) -> DataFrame:
 SELECT level, method, round(avg(CASE WHEN inside THEN 0.0 ELSE 1.0 END) FILTER (expensive) / nullif(avg(CASE WHEN inside THEN 0.0 ELSE 1.0 END) FILTER (NOT expensive), 0), 6) AS concentration,
   count(*) FILTER (expensive) AS n_expensive FROM priced GROUP BY level, method""")
 def a8(spark: SparkSession, d: str) -> DataFrame:
-    p = priced(spark, d)
-    n = p.groupBy("level", "method").agg(F.count(F.when(F.col("expensive"), 1)).alias("n_expensive"))
-    return B.concentration(p, "level", "method").join(n, ["level", "method"]).select("level", "method", _r("concentration"), "n_expensive")
+    return B.concentration(priced(spark, d), "level", "method").select("level", "method", _r("concentration"), "n_expensive")
 
 
 @query("a10_day_counts", f"""WITH {SCORED}

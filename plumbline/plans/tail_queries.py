@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.settle import settle
 from plumbline.operators import panel as P
 from plumbline.operators import resample as R
 from plumbline.operators import tail as T
@@ -32,7 +33,7 @@ def pnl(spark: SparkSession, d: str) -> DataFrame:
 
 
 def details(spark: SparkSession, d: str) -> DataFrame:
-    return T.historical(pnl(spark, d), ALPHAS)
+    return settle(T.historical(pnl(spark, d), ALPHAS))
 
 
 def _r(name: str, digits: int = 6):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.ordered import rank0
+from plumbline.functions.settle import settle
 from plumbline.operators.panel import densify
 
 
@@ -24,14 +25,14 @@ def ship_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum("l_quantity").alias("act"), F.round(F.avg(price), 10).alias("da"), F.min(price).alias("low"), F.max(price).alias("high")
     )
     ahead = F.lag("act", 7).over(Window.partitionBy("slot").orderBy("date"))
-    return densify(daily, "date", "slot").withColumn("fc", ahead).withColumn("err", F.col("act") - F.col("fc"))
+    return densify(settle(daily), "date", "slot").withColumn("fc", ahead).withColumn("err", F.col("act") - F.col("fc"))
 
 
 def hour_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """date, slot (hour), act, fc (the day before), err."""
     hourly = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("date"), F.hour("ts").alias("slot")).agg(F.round(F.sum("value"), 6).alias("act"))
     ahead = F.lag("act", 1).over(Window.partitionBy("slot").orderBy("date"))
-    return densify(hourly, "date", "slot").withColumn("fc", ahead).withColumn("err", F.col("act") - F.col("fc"))
+    return densify(settle(hourly), "date", "slot").withColumn("fc", ahead).withColumn("err", F.col("act") - F.col("fc"))
 
 
 def asset_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,8 +40,7 @@ def asset_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     daily = table(spark, sf_dir, "lineitem").groupBy(F.to_date("l_shipdate").alias("date"), F.col("l_returnflag").alias("asset")).agg(
         F.round(100 + F.sum("l_extendedprice") / 1e6, 9).alias("price")
     )
-    full = daily.groupBy("date").agg(F.count(F.lit(1)).alias("n")).where("n = 3").select("date")
-    return daily.join(full, "date", "left_semi")
+    return daily.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("date"))).where("n = 3").drop("n")
 
 
 def choice_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
