@@ -12,7 +12,7 @@ from plumbline.plans.registry import query
 from plumbline.sources import tables as S
 
 
-def _sql_bands() -> str:
+def _sql_bands(panel: str = S.SHIP) -> str:
     """CTE `scored`: both methods at every level, by the same definitions in SQL."""
     window = "(PARTITION BY slot ORDER BY date ROWS BETWEEN 90 PRECEDING AND 1 PRECEDING)"
     tails = ", ".join(f"quantile_cont(err, {t}) OVER {window} AS l{i}, quantile_cont(err, {1 - t}) OVER {window} AS h{i}" for i, t in enumerate(B.LEVELS.values()))
@@ -20,7 +20,7 @@ def _sql_bands() -> str:
     for i, (level, tail) in enumerate(B.LEVELS.items()):
         for method, lo, hi in (("gaussian", f"m - {B.z(tail)!r} * s", f"m + {B.z(tail)!r} * s"), ("conformal", f"l{i}", f"h{i}")):
             parts.append(f"SELECT date, slot, act, fc, err, da, low, high, CAST({level} AS DOUBLE) AS level, '{method}' AS method, round({lo}, 9) AS lo, round({hi}, 9) AS hi FROM banded WHERE n >= 60 AND err IS NOT NULL")
-    return f"""{S.SHIP}, banded AS MATERIALIZED (
+    return f"""{panel}, banded AS MATERIALIZED (
   SELECT *, count(err) OVER {window} AS n, avg(err) OVER {window} AS m, stddev_samp(err) OVER {window} AS s, {tails} FROM panel
 ), scored AS MATERIALIZED (
   SELECT *, err >= lo AND err <= hi AS inside, hi - lo AS width, CASE WHEN err > hi THEN err - hi WHEN err < lo THEN lo - err ELSE 0.0 END AS excess,
@@ -49,11 +49,23 @@ def _r(name: str, digits: int = 6):
     return F.round(name, digits).alias(name)
 
 
-@query("w1_w2_band_coverage", f"WITH {SCORED} SELECT level, method, round(avg(CAST(inside AS DOUBLE)), 6) AS coverage, count(*) AS n, round(avg(width), 6) AS mean_width, round(quantile_cont(width, 0.95), 6) AS p95_width FROM scored GROUP BY level, method")
-def w1(spark: SparkSession, d: str) -> DataFrame:
-    s = scored(spark, d).groupBy("level", "method").agg(
+_COVERAGE = "SELECT level, method, round(avg(CAST(inside AS DOUBLE)), 6) AS coverage, count(*) AS n, round(avg(width), 6) AS mean_width, round(quantile_cont(width, 0.95), 6) AS p95_width FROM scored GROUP BY level, method"
+
+
+def _coverage(s: DataFrame) -> DataFrame:
+    return s.groupBy("level", "method").agg(
         F.round(F.avg(F.col("inside").cast("double")), 6).alias("coverage"), F.count(F.lit(1)).alias("n"), F.round(F.avg("width"), 6).alias("mean_width"), F.round(F.percentile("width", F.lit(0.95)), 6).alias("p95_width"))
-    return s
+
+
+@query("w1_w2_band_coverage", f"WITH {SCORED} {_COVERAGE}")
+def w1(spark: SparkSession, d: str) -> DataFrame:
+    return _coverage(scored(spark, d))
+
+
+@query("w1_w2_daily_coverage", f"WITH {_sql_bands(S.DAYS)} {_COVERAGE}")
+def w1_days(spark: SparkSession, d: str) -> DataFrame:
+    """The flagship: both trailing bands on the daily total."""
+    return _coverage(B.scored_panel(S.day_panel(spark, d)))
 
 
 @query("w1_w2_band_edges", f"WITH {SCORED} SELECT date, slot, method, round(lo, 6) AS lo, round(hi, 6) AS hi, inside FROM scored WHERE level = 0.9")

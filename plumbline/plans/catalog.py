@@ -17,4 +17,4 @@ def oracles() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["w1_w2_band_coverage"](spark, sf_dir)
+    return QUERIES["w1_w2_daily_coverage"](spark, sf_dir)

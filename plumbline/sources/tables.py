@@ -28,6 +28,13 @@ def ship_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return densify(settle(daily), "date", "slot").withColumn("fc", ahead).withColumn("err", F.col("act") - F.col("fc"))
 
 
+def day_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shipping panel with one slot for all flags: dense at the smallest scale too."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.to_date("l_shipdate").alias("date")).agg(F.sum("l_quantity").alias("act"))
+    ahead = F.lag("act", 7).over(Window.partitionBy("slot").orderBy("date"))
+    return lines.withColumn("slot", F.lit("all")).withColumn("fc", ahead).withColumn("err", F.col("act") - F.col("fc"))
+
+
 def hour_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """date, slot (hour), act, fc (the day before), err."""
     hourly = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("date"), F.hour("ts").alias("slot")).agg(F.round(F.sum("value"), 6).alias("act"))
@@ -84,6 +91,11 @@ daily AS (
     SELECT d.date, s.slot, y.act, y.da, y.low, y.high, lag(y.act, 7) OVER (PARTITION BY s.slot ORDER BY d.date) AS fc
     FROM (SELECT DISTINCT date FROM daily) d CROSS JOIN (SELECT DISTINCT slot FROM daily) s LEFT JOIN daily y ON y.date = d.date AND y.slot = s.slot)
 )"""
+DAYS = """
+panel AS (
+  SELECT *, act - fc AS err FROM (SELECT *, lag(act, 7) OVER (ORDER BY date) AS fc, NULL AS da, NULL AS low, NULL AS high FROM (
+    SELECT CAST(l_shipdate AS DATE) AS date, 'all' AS slot, sum(l_quantity) AS act FROM lineitem GROUP BY 1))
+)"""
 HOURS = """
 hourly AS (SELECT CAST(ts AS DATE) AS date, CAST(hour(ts) AS INTEGER) AS slot, round(sum(value), 6) AS act FROM events GROUP BY ALL),
 hpanel AS (
