@@ -31,7 +31,7 @@ from plumbline.llm.common import ship
 MARK = "▁"
 VOCABULARY = "piece_bpe_32k"
 UNKNOWN = -1e9 - 10
-#: Words whose pieces a worker keeps, and characters that it takes at a time: both bound its memory.
+#: Words after which a worker starts a new generation of its cache (it keeps two), and characters that it takes at a time: both bound its memory.
 CACHED_WORDS = 300_000
 CHARS_AT_ONCE = 2_000_000
 
@@ -39,7 +39,13 @@ CHARS_AT_ONCE = 2_000_000
 class Vocabulary:
     def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int]):
         self.pieces, self.byte_ids = pieces, byte_ids
-        self.longest = max(map(len, pieces), default=1)
+        # pieces from their last character on: candidates that end at a place, the shortest first, with an early end
+        self.backward: dict = {}
+        for piece, (i, score) in pieces.items():
+            node = self.backward
+            for c in piece[:0:-1]:
+                node = node.setdefault(c, [{}, -1, 0.0])[0]
+            node.setdefault(piece[0], [{}, -1, 0.0])[1:] = i, score
         if any(MARK in p.lstrip(MARK) for p in pieces):
             raise ValueError("a piece goes on over a word's start")
         # a character that no piece holds stands alone: cut there too, and more words are alike
@@ -62,7 +68,7 @@ class Vocabulary:
 
     def solve(self, words: Iterable[str]) -> Iterator[tuple[str, bytes]]:
         """Each word's ids as little-endian bytes; words in sorted order share what they have in common."""
-        pieces, longest = self.pieces, self.longest
+        backward = self.backward
         score, begin, ids = [0.0], [0], [-1]  # by prefix length: its best score, where its last piece begins, and that piece
         before = ""
         for word in words:
@@ -72,10 +78,15 @@ class Vocabulary:
             del score[same + 1 :], begin[same + 1 :], ids[same + 1 :]
             for end in range(same + 1, len(word) + 1):
                 best, at, which = score[end - 1] + UNKNOWN, end - 1, -1
-                for start in range(max(0, end - longest), end):
-                    found = pieces.get(word[start:end])
-                    if found is not None and score[start] + found[1] > best:
-                        best, at, which = score[start] + found[1], start, found[0]
+                node, start = backward, end
+                while start:
+                    start -= 1
+                    found = node.get(word[start])
+                    if found is None:
+                        break
+                    node, i, s = found
+                    if i >= 0 and score[start] + s >= best:
+                        best, at, which = score[start] + s, start, i
                 score.append(best)
                 begin.append(at)
                 ids.append(which)
@@ -104,14 +115,16 @@ def encode(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
     schema = T.StructType([docs.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, known = vocabulary(name), {}
+        vocab, known, older = vocabulary(name), {}, {}
 
         def solved(begin: int, cut: list[list[str]], doc_ids: pa.Array) -> pa.RecordBatch:
+            nonlocal known, older
+            if len(known) > CACHED_WORDS:
+                known, older = {}, known  # words that still occur move over, the others go at the next change
             new = {w for words in cut for w in words}.difference(known)
-            if len(known) + len(new) > CACHED_WORDS:
-                known.clear()
-                new = {w for words in cut for w in words}
-            known.update(vocab.solve(sorted(new)))
+            held = new.intersection(older)
+            known.update((w, older[w]) for w in held)
+            known.update(vocab.solve(sorted(new - held)))
             parts = [b"".join(map(known.__getitem__, words)) for words in cut]
             offsets = np.concatenate(([0], np.cumsum([len(p) // 4 for p in parts]))).astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(parts), dtype="<i4"))

@@ -74,7 +74,7 @@ def brute(vocab, text):
     best = [0.0] + [float("-inf")] * len(marked)
     for end in range(1, len(marked) + 1):
         best[end] = best[end - 1] + spm_trie.UNKNOWN
-        for start in range(max(0, end - vocab.longest), end):
+        for start in range(max(0, end - 16), end):
             if (p := vocab.pieces.get(marked[start:end])) and best[start] + p[1] > best[end]:
                 best[end] = best[start] + p[1]
     return best[-1]
