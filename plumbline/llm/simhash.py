@@ -14,8 +14,9 @@ steps over these edges, each written to the shared folder.
 
 similar() is the same method for word-shingle similarity: near copies at a Jaccard similarity of 0.8
 differ in some 15 % of SimHash bits, far beyond a ball of 64-bit words.  There a document has
-256 bits.  PARTS words of 32 bits of it are the keys, each with a radius of four: every key emits all variants
-within two bits, and whatever meets on a variant is verified on all 256 bits.
+256 bits.  PARTS overlapping words of 32 bits of it are the keys.  Keys are dealt by their first bits, which have to be
+equal, and have a radius of four in the others: every key emits all variants within two bits, and whatever
+meets on a variant is verified on all 256 bits.  A document is sent PARTS times, however many there are.
 
 Null texts count as empty (fingerprint zero, linked like any other); repeated rows share a
 fingerprint and so a component; a null doc_id is kept and never names a component unless
@@ -202,8 +203,8 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
     return nodes.unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
 
 
-WIDE, KEY_BITS, PARTS, HALF = 256, 32, 6, 2
-#: Fingerprints that a cell of similar() holds as its own, about.
+WIDE, KEY_BITS, PARTS, HALF = 256, 32, 15, 2
+#: Fingerprints of which a cell of similar() makes the variants at a time, about.
 CELL = 8_000
 
 
@@ -253,36 +254,45 @@ def verified(values: np.ndarray, owners: np.ndarray, fps: np.ndarray, most: int)
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
 
+def meetings(rest: np.ndarray, low: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(variants, owners) within HALF bits of keys of `low` bits that another key's variant may equal.
+
+    Many keys are taken in turns, by the first bits of the variants, so that memory is bounded."""
+    first = int(min(low - 1, max(0, np.ceil(np.log2(max(1, len(rest)) / CELL)))))
+    below = low - first
+    flips = [masks(below, k).astype(np.uint32) for k in range(HALF + 1)]
+    tail = (rest & np.uint32((1 << below) - 1)).astype(np.uint32)
+    for head in range(1 << first):
+        apart = np.bitwise_count((rest >> np.uint32(below)) ^ np.uint32(head))
+        values, owners = [], []
+        for k in range(HALF + 1):
+            own = np.flatnonzero(apart <= HALF - k)
+            values.append((tail[own, None] ^ flips[k][None, :]).ravel())
+            owners.append(np.repeat(own.astype(np.int32), len(flips[k])))
+        values, owners = np.concatenate(values), np.concatenate(owners)
+        slots = min(31, max(10, int(2 * len(values)).bit_length()))
+        slot = (values * np.uint32(2654435761)) >> np.uint32(32 - slots)
+        met = np.bincount(slot, minlength=1)[slot] > 1  # what no other variant can equal is sent off at once
+        yield values[met], owners[met]
+
+
 def similar_links(distinct: DataFrame, bits: int, most: int) -> DataFrame:
     """Edges (a, b) of spanning forests of the verified links; `distinct` has node and fp (32 bytes)."""
     ship(distinct.sparkSession)
     low = KEY_BITS - bits
-    flips = [(int(m), k) for k in range(HALF + 1) for m in masks(bits, k)]
-    word = lambda k: F.conv(F.hex(F.substring("fp", 4 * k + 1, 4)), 16, 10).cast("long")
+    word = lambda k: F.conv(F.hex(F.substring("fp", 2 * k + 1, 4)), 16, 10).cast("long")
     part = F.explode(F.array(*[F.struct(F.lit(k).alias("part"), word(k).alias("key")) for k in range(PARTS)]))
-    touched = F.explode(F.array(*[F.struct(F.lit(m).cast("long").alias("m"), F.lit(k).alias("apart")) for m, k in flips]))
-    dealt = distinct.select("node", "fp", part.alias("p")).select("node", "fp", "p.part", "p.key", touched.alias("c"))
-    dealt = dealt.select("part", F.shiftright("key", low).bitwiseXOR(F.col("c.m")).alias("cell"), "key", F.col("c.apart").alias("apart"), "node", "fp")
+    dealt = distinct.select("node", "fp", part.alias("p")).select("p.part", F.shiftright("p.key", low).alias("cell"), F.col("p.key").alias("key"), "node", "fp")
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def run(cell):  # a pyarrow Table in and out
-        nodes, apart = cell.column("node").to_numpy(), cell.column("apart").to_numpy()
+        nodes = cell.column("node").to_numpy()
         order = np.argsort(nodes, kind="stable")
-        nodes, apart = nodes[order], apart[order]
+        nodes = nodes[order]
         fps = np.frombuffer(b"".join(cell.column("fp").to_pylist()), np.uint64).reshape(-1, WIDE // 64)[order]
         rest = (cell.column("key").to_numpy()[order] & ((1 << low) - 1)).astype(np.uint32)
-        values, owners = [], []
-        for k in range(HALF + 1):
-            own = np.flatnonzero(apart <= HALF - k)
-            flipped = masks(low, k).astype(np.uint32)
-            values.append((rest[own, None] ^ flipped[None, :]).ravel())
-            owners.append(np.repeat(own.astype(np.int32), len(flipped)))
-        values, owners = np.concatenate(values), np.concatenate(owners)
-        slots = 1 << max(10, int(2 * len(values)).bit_length())
-        slot = (values * np.uint32(2654435761)) >> np.uint32(max(0, 33 - slots.bit_length()))
-        met = np.bincount(slot, minlength=1)[slot] > 1  # what no other variant can equal is sent off at once
-        a, b = verified(values[met], owners[met], fps, most)
-        rows, roots = spanning(a, b, len(nodes))
+        found = [verified(values, owners, fps, most) for values, owners in meetings(rest, low)]
+        rows, roots = spanning(np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found]), len(nodes))
         return pa.table({"a": nodes[rows], "b": nodes[roots]})
 
     return dealt.groupBy("part", "cell").applyInArrow(run, schema)
@@ -301,7 +311,7 @@ def similar(docs: DataFrame, folder: str, words: int = 5, similarity: float = 0.
     prints = materialize(prints, folder, "wide")
     distinct = prints.where(F.length("fp") > 0).groupBy("node", "fp").agg(F.min("doc_id").alias("first"))
     distinct = materialize(distinct, folder, "wide_distinct")
-    bits = int(min(16, max(2, np.ceil(np.log2(max(1, distinct.count()) / CELL)))))
+    bits = int(min(16, max(4, np.ceil(np.log2(max(1, distinct.count()) / CELL)))))
     found = components(similar_links(distinct.select("node", "fp"), bits, most_bits(similarity)), folder)
     group = found.join(distinct, "node").groupBy("component").agg(F.min("first").alias("component_id"))
     linked = found.join(group, "component").select("node", "component_id")
