@@ -16,7 +16,8 @@ similar() is the same method for word-shingle similarity: near copies at a Jacca
 differ in some 15 % of SimHash bits, far beyond a ball of 64-bit words.  There a document has
 256 bits.  PARTS overlapping words of 32 bits of it are the keys.  Keys are dealt by their first bits, which have to be
 equal, and have a radius of four in the others: every key emits all variants within two bits, and whatever
-meets on a variant is verified on all 256 bits.  A document is sent PARTS times, however many there are.
+meets on a variant is verified on all 256 bits.  A document is sent PARTS times, however many there are,
+and the number of first bits is fixed too, so that what meets does not depend on the size of the corpus.
 
 Null texts count as empty (fingerprint zero, linked like any other); repeated rows share a
 fingerprint and so a component; a null doc_id is kept and never names a component unless
@@ -204,6 +205,9 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
 
 
 WIDE, KEY_BITS, PARTS, HALF = 256, 32, 15, 2
+#: First bits of a key by which similar() deals.  They have to be equal, so more of them would lose pairs: a cell of
+#: a large corpus holds more keys instead, and takes them in more turns.
+DEALT_BITS = 4
 #: Fingerprints of which a cell of similar() makes the variants at a time, about.
 CELL = 8_000
 
@@ -311,8 +315,7 @@ def similar(docs: DataFrame, folder: str, words: int = 5, similarity: float = 0.
     prints = materialize(prints, folder, "wide")
     distinct = prints.where(F.length("fp") > 0).groupBy("node", "fp").agg(F.min("doc_id").alias("first"))
     distinct = materialize(distinct, folder, "wide_distinct")
-    bits = int(min(16, max(4, np.ceil(np.log2(max(1, distinct.count()) / CELL)))))
-    found = components(similar_links(distinct.select("node", "fp"), bits, most_bits(similarity)), folder)
+    found = components(similar_links(distinct.select("node", "fp"), DEALT_BITS, most_bits(similarity)), folder)
     group = found.join(distinct, "node").groupBy("component").agg(F.min("first").alias("component_id"))
     linked = found.join(group, "component").select("node", "component_id")
     named = distinct.join(linked, "node", "left").select("node", F.coalesce("component_id", "first").alias("component_id"))

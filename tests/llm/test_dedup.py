@@ -107,6 +107,25 @@ def test_similar_finds_near_copies_and_leaves_others(documents, folder):
     assert all(jaccard(texts[i], texts[j]) > 0.4 for i, j in far)
 
 
+def edited(rng, k, words=150, edits=2):
+    """A text of its own and a copy with single words replaced."""
+    text = [f"w{k}x{rng.randrange(10**6)}" for _ in range(words)]
+    copy = list(text)
+    for at in rng.sample(range(10, words - 10), edits):
+        copy[at] = f"e{rng.randrange(10**6)}"
+    return " ".join(text), " ".join(copy)
+
+
+def test_similar_pairs_do_not_depend_on_the_corpus_size(documents, folder, monkeypatch):
+    """A tiny CELL stands for a corpus many times the size of one cell."""
+    monkeypatch.setattr(simhash, "CELL", 0.01)
+    rng = random.Random(5)
+    texts = [t for k in range(200) for t in edited(rng, k)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(documents(texts), folder).collect()}
+    near = [k for k in range(200) if jaccard(texts[2 * k], texts[2 * k + 1]) >= 0.8]
+    assert len(near) > 150 and sum(got[2 * k] == got[2 * k + 1] for k in near) >= 0.97 * len(near)
+
+
 def brute_lines(rows, ratio, least):
     pages, total = {}, {}
     bare = lambda line: line.strip(" \t\r")
