@@ -16,7 +16,8 @@ similar() is the same method for word-shingle similarity: near copies at a Jacca
 differ in some 15 % of SimHash bits, far beyond a ball of 64-bit words.  There a document has
 256 bits.  PARTS overlapping words of 32 bits of it are the keys.  Keys are dealt by their first bits, which have to be
 equal, and have a radius of four in the others: every key emits all variants within two bits, and whatever
-meets on a variant is verified on all 256 bits.  A document is sent PARTS times, however many there are,
+meets on a variant within a loose bound on all 256 bits is proposed.  Components of proposals are then taken apart by
+the exact similarity of their shingle sets.  A document is sent PARTS times, however many there are,
 and the number of first bits is fixed too, so that what meets does not depend on the size of the corpus.
 
 Null texts count as empty (fingerprint zero, linked like any other); repeated rows share a
@@ -212,31 +213,39 @@ DEALT_BITS = 4
 CELL = 8_000
 
 
-def wide_fingerprint(text: str | None, words: int = 5) -> bytes:
-    """256-bit SimHash as 32 bytes, from two 128-bit hashes a shingle; a text without words has none."""
+def shingles(text: str | None, words: int = 5) -> set[bytes]:
+    """The different word shingles; a text without words has none."""
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return {b" ".join(tokens[i : i + words]) for i in range(max(1, len(tokens) - words + 1))} if tokens else set()
+
+
+def hashed(found: set[bytes]) -> np.ndarray:
+    """Shingles as sorted 64-bit hashes."""
     import xxhash
 
-    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not tokens:
+    return np.sort(np.array([xxhash.xxh3_64_intdigest(x, SEED) for x in found], np.uint64))
+
+
+def wide_fingerprint(found: set[bytes]) -> bytes:
+    """256-bit SimHash of a set of shingles as 32 bytes, from two 128-bit hashes each; the empty set has none."""
+    import xxhash
+
+    if not found:
         return b""
-    n = max(1, len(tokens) - words + 1)
-    joined = b" ".join(tokens)
-    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1)
-    begins = np.concatenate(([0], ends[:-1]))[:n].tolist()
-    ends = (ends[min(words, len(tokens)) - 1 :] - 1).tolist()
+    listed = list(found)
     ones = np.zeros(WIDE, np.int64)
     digest, chunk = xxhash.xxh3_128_digest, COUNT_AT_ONCE // 4
-    for at in range(0, n, chunk):
-        shingles = [joined[b:e] for b, e in zip(begins[at : at + chunk], ends[at : at + chunk], strict=True)]
-        hashes = np.frombuffer(b"".join([digest(x, SEED) + digest(x, SEED + 1) for x in shingles]), np.uint8).reshape(-1, WIDE // 8)
+    for at in range(0, len(listed), chunk):
+        hashes = np.frombuffer(b"".join([digest(x, SEED) + digest(x, SEED + 1) for x in listed[at : at + chunk]]), np.uint8).reshape(-1, WIDE // 8)
         ones += np.unpackbits(hashes, axis=1).sum(axis=0, dtype=np.uint32)
-    return np.packbits(2 * ones > n).tobytes()
+    return np.packbits(2 * ones > len(listed)).tobytes()
 
 
 def most_bits(similarity: float) -> int:
-    """Differing bits up to which two documents count as similar: what sets of that Jaccard similarity have on average, and one deviation."""
+    """Differing bits up to which two documents are compared: what sets of that Jaccard similarity have on average, and
+    three deviations, which 99.8 % of such pairs keep to."""
     p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return round(WIDE * p + (WIDE * p * (1 - p)) ** 0.5)
+    return round(WIDE * p + 3 * (WIDE * p * (1 - p)) ** 0.5)
 
 
 def verified(values: np.ndarray, owners: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -281,7 +290,7 @@ def meetings(rest: np.ndarray, low: int) -> Iterator[tuple[np.ndarray, np.ndarra
 
 
 def similar_links(distinct: DataFrame, bits: int, most: int) -> DataFrame:
-    """Edges (a, b) of spanning forests of the verified links; `distinct` has node and fp (32 bytes)."""
+    """Edges (a, b) of spanning forests of the proposed links; `distinct` has node and fp (32 bytes)."""
     ship(distinct.sparkSession)
     low = KEY_BITS - bits
     word = lambda k: F.conv(F.hex(F.substring("fp", 2 * k + 1, 4)), 16, 10).cast("long")
@@ -302,25 +311,116 @@ def similar_links(distinct: DataFrame, bits: int, most: int) -> DataFrame:
     return dealt.groupBy("part", "cell").applyInArrow(run, schema)
 
 
-def similar(docs: DataFrame, folder: str, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, component_id (the smallest doc_id that similar texts lead to); texts without words stand alone, as do null ids."""
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def exact_groups(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each set the first set of its component, where sets of at least that Jaccard similarity are linked.
+
+    Each set that was reached is compared with all that were not, so no link is left out."""
+    sizes = np.array([len(x) for x in sets])
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    root, mark = np.arange(len(sets)), np.zeros(ids.max() + 1, bool)
+    rest, flat = np.arange(len(sets)), ids
+    while len(rest):
+        first, reached = rest[0], [rest[0]]
+        flat, rest = flat[sizes[first] :], rest[1:]
+        while reached and len(rest):
+            at = reached.pop()
+            own = ids[ends[at] - sizes[at] : ends[at]]
+            mark[own] = True
+            both = np.add.reduceat(mark[flat], np.cumsum(sizes[rest]) - sizes[rest], dtype=np.int64)
+            mark[own] = False
+            hit = both / (sizes[at] + sizes[rest] - both) >= similarity
+            if hit.any():
+                root[rest[hit]] = first
+                reached += rest[hit].tolist()
+                flat, rest = flat[np.repeat(~hit, sizes[rest])], rest[~hit]
+    return root
+
+
+def confirmed(proposed: DataFrame, texts: DataFrame, folder: str, words: int, similarity: float) -> DataFrame:
+    """node, root: the components of `proposed` (node, component, row) taken apart, so that only texts of at least that
+    similarity are linked.  `texts` has row and text.
+
+    Most components are near copies of their first node and done when all have been compared with that.  The others
+    are gathered whole."""
+    long = T.LongType()
+    schema = T.StructType([T.StructField("node", long), T.StructField("component", long), T.StructField("set", T.BinaryType())])
+
+    def to_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [hashed(shingles(t.as_py(), words)).tobytes() for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], names=schema.names)
+
+    sets = proposed.join(texts, "row").select("node", "component", "text").mapInArrow(to_sets, schema)
+    sets = materialize(sets, folder, "wide_sets")
+    tested = T.StructType([T.StructField("node", long), T.StructField("component", long), T.StructField("near", T.BooleanType())])
+
+    def test(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column(2), batch.column(3), strict=True)
+            near = [jaccard(*(np.frombuffer(x.as_py(), np.uint64) for x in pair)) >= similarity for pair in pairs]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.bool_())], names=tested.names)
+
+    lead = sets.where("node = component").select("component", F.col("set").alias("lead"))
+    near = sets.where("node <> component").join(lead, "component").select("node", "component", "set", "lead").mapInArrow(test, tested)
+    near = materialize(near, folder, "wide_near")
+    mixed = near.where("not near").select("component").distinct()
+    roots = T.StructType([T.StructField("node", long), T.StructField("root", long)])
+
+    def take_apart(group):  # a pyarrow Table in and out
+        nodes = group.column("node").to_numpy()
+        order = np.argsort(nodes, kind="stable")
+        found = [np.frombuffer(x, np.uint64) for x in group.column("set").to_pylist()]
+        root = exact_groups([found[i] for i in order], similarity)
+        return pa.table({"node": nodes[order], "root": nodes[order][root]})
+
+    apart = sets.join(mixed, "component", "left_semi").groupBy("component").applyInArrow(take_apart, roots)
+    whole = near.join(mixed, "component", "left_anti").select("node", F.col("component").alias("root"))
+    return apart.unionByName(whole)
+
+
+def named_rows(docs: DataFrame, folder: str, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The rows with a number (row) and a hash of their shingles (node, null for texts without words or an id), and for
+    each node the smallest doc_id of its component, and the row of that (first)."""
     ship(docs.sparkSession)
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("fp", T.BinaryType())])
+    numbered = docs.withColumn("row", F.monotonically_increasing_id())
+    schema = T.StructType([*numbered.schema.fields, T.StructField("fp", T.BinaryType()), T.StructField("node", T.LongType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([wide_fingerprint(t.as_py(), words) for t in batch.column(1)], pa.binary())], names=schema.names)
+        import xxhash
 
-    prints = docs.select("doc_id", "text").mapInArrow(run, schema).withColumn("node", F.xxhash64("fp"))
-    prints = materialize(prints, folder, "wide")
-    distinct = prints.where(F.length("fp") > 0).groupBy("node", "fp").agg(F.min("doc_id").alias("first"))
+        for batch in batches:
+            fps, nodes = [], []
+            for i, t in zip(batch.column("doc_id"), batch.column("text"), strict=True):
+                found = shingles(t.as_py(), words) if i.is_valid else set()
+                fps.append(wide_fingerprint(found))
+                nodes.append(xxhash.xxh3_64_intdigest(hashed(found).tobytes()) - (1 << 63) if found else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.binary()), pa.array(nodes, pa.int64())], names=schema.names)
+
+    rows = materialize(numbered.mapInArrow(run, schema), folder, "wide")
+    distinct = rows.where("node IS NOT NULL").groupBy("node", "fp").agg(F.min(F.struct("doc_id", "row")).alias("first"))
     distinct = materialize(distinct, folder, "wide_distinct")
-    found = components(similar_links(distinct.select("node", "fp"), DEALT_BITS, most_bits(similarity)), folder)
-    group = found.join(distinct, "node").groupBy("component").agg(F.min("first").alias("component_id"))
-    linked = found.join(group, "component").select("node", "component_id")
-    named = distinct.join(linked, "node", "left").select("node", F.coalesce("component_id", "first").alias("component_id"))
-    named = materialize(named, folder, "wide_named")
-    return prints.join(named, "node", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+    proposed = components(similar_links(distinct.select("node", "fp"), DEALT_BITS, most_bits(similarity)), folder)
+    proposed = proposed.join(distinct, "node").select("node", "component", F.col("first.row").alias("row"))
+    found = confirmed(proposed, rows.select("row", "text"), folder, words, similarity)
+    found = materialize(found, folder, "wide_found")
+    own = distinct.select("node", "first")
+    rooted = own.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first")
+    first = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    return rows, materialize(rooted.select("node", "root").join(first, "root").select("node", "first"), folder, "wide_named")
+
+
+def similar(docs: DataFrame, folder: str, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, component_id (the smallest doc_id that similar texts lead to); texts without words stand alone, as do null ids.
+
+    Each link has at least that exact Jaccard similarity of word shingles; SimHash only says which texts to compare."""
+    rows, named = named_rows(docs.select("doc_id", "text"), folder, words, similarity)
+    return rows.join(named, "node", "left").select("doc_id", F.coalesce("first.doc_id", "doc_id").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, folder: str, words: int = 3) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
@@ -126,6 +127,30 @@ def test_similar_pairs_do_not_depend_on_the_corpus_size(documents, folder, monke
     assert len(near) > 150 and sum(got[2 * k] == got[2 * k + 1] for k in near) >= 0.97 * len(near)
 
 
+def test_similar_links_at_the_exact_similarity_only(documents, folder):
+    """Pairs on both sides of 0.8, and a text whose repeated shingles outweigh the others."""
+    rng = random.Random(6)
+    texts = [t for k in range(240) for t in edited(rng, k, edits=1 + k % 6)] + ["a " * 50 + "b c d e f g h", "a " * 5]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(documents(texts), folder).collect()}
+    alike = [jaccard(texts[2 * k], texts[2 * k + 1]) for k in range(240)]
+    joined = [got[2 * k] == got[2 * k + 1] for k in range(240)]
+    assert not any(j for j, a in zip(joined, alike, strict=True) if a < 0.8)
+    assert sum(joined) >= 0.97 * sum(a >= 0.8 for a in alike)
+    assert got[481] == 481
+
+
+def test_exact_groups_against_all_pairs():
+    rng = random.Random(7)
+    sets = [np.array(sorted(rng.sample(range(14), 9 + rng.randrange(4))), np.uint64) for _ in range(150)]
+    root = list(range(150))
+    for i in range(150):
+        for j in range(i):
+            if simhash.jaccard(sets[i], sets[j]) >= 0.8 and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert 1 < len(set(root)) < 150 and simhash.exact_groups(sets, 0.8).tolist() == root
+
+
 def brute_lines(rows, ratio, least):
     pages, total = {}, {}
     bare = lambda line: line.strip(" \t\r")
