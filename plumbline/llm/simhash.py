@@ -209,6 +209,8 @@ WIDE, KEY_BITS, PARTS, HALF = 256, 32, 15, 2
 #: First bits of a key by which similar() deals.  They have to be equal, so more of them would lose pairs: a cell of
 #: a large corpus holds more keys instead, and takes them in more turns.
 DEALT_BITS = 4
+#: Pairs of fingerprints that are compared at a time.
+COMPARE_AT_ONCE = 1 << 18
 #: Fingerprints of which a cell of similar() makes the variants at a time, about.
 CELL = 8_000
 
@@ -249,8 +251,10 @@ def most_bits(similarity: float) -> int:
 
 
 def verified(values: np.ndarray, owners: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (a, b) among the owners of equal values: each with the first of its variant if that is near
-    enough, the rest among themselves in turn, until none is left."""
+    """Links (a, b) that join the owners of equal values: each with the first of its variant if that is near
+    enough, the rest with those just linked and then among themselves in turn, until none is left.
+
+    Two owners of a value are compared unless links join them already."""
     order = np.lexsort((owners, values))
     values, owners = values[order], owners[order]
     a, b = [], []
@@ -262,6 +266,25 @@ def verified(values: np.ndarray, owners: np.ndarray, fps: np.ndarray, most: int)
         pairs = np.unique(np.stack((lead[near & ~head], owners[near & ~head])), axis=1)
         a.append(pairs[0])
         b.append(pairs[1])
+        taken, met, left, to = owners[near & ~head], values[near & ~head], owners[~near], lead[~near]
+        begin = np.searchsorted(met, values[~near])
+        count = np.searchsorted(met, values[~near], "right") - begin
+        open_ = np.flatnonzero(count)
+        while len(open_):  # each left row with the taken ones of its value, a bounded number of pairs at a time
+            links = np.concatenate(a), np.concatenate(b)
+            rows, roots = spanning(*links, len(fps))
+            a, b = [roots], [rows]
+            root = np.arange(len(fps))
+            root[rows] = roots
+            open_ = open_[root[left[open_]] != root[to[open_]]]  # the taken ones are linked to `to`
+            now = open_[: max(1, int(np.searchsorted(np.cumsum(count[open_]), COMPARE_AT_ONCE)))]
+            n = count[now]
+            one = np.repeat(left[now], n)
+            other = taken[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - begin[now], n)]
+            linked = np.bitwise_count(fps[one] ^ fps[other]).sum(axis=1) <= most
+            a.append(other[linked])
+            b.append(one[linked])
+            open_ = open_[len(now) :]
         values, owners = values[~near], owners[~near]
     none = np.empty(0, np.int64)
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)

@@ -151,6 +151,21 @@ def test_exact_groups_against_all_pairs():
     assert 1 < len(set(root)) < 150 and simhash.exact_groups(sets, 0.8).tolist() == root
 
 
+def test_links_of_a_variant_are_all_compared():
+    """On one variant the second row is near the first and the third is near the second alone."""
+    fps = np.zeros((4, 4), np.uint64)
+    fps[1, 0], fps[2, 0], fps[3, 1] = (1 << 40) - 1, (1 << 60) - 1, (1 << 63) - 1
+    a, b = simhash.verified(np.zeros(4, np.uint32), np.arange(4), fps, 45)
+    assert simhash.spanning(a, b, 4)[0].tolist() == [1, 2]
+    rng = np.random.default_rng(3)
+    fps, values, owners = rng.integers(0, 2, (60, 4)).astype(np.uint64), rng.integers(0, 5, 300), rng.integers(0, 60, 300)
+    values, owners = np.unique(np.stack((values, owners)), axis=1)
+    rows, roots = simhash.spanning(*simhash.verified(values, owners, fps, 1), 60)
+    want = [(i, j) for v in range(5) for i in owners[values == v] for j in owners[values == v] if np.bitwise_count(fps[i] ^ fps[j]).sum() <= 1]
+    more, least = simhash.spanning(np.array([i for i, _ in want]), np.array([j for _, j in want]), 60)
+    assert dict(zip(rows.tolist(), roots.tolist(), strict=True)) == dict(zip(more.tolist(), least.tolist(), strict=True))
+
+
 def brute_lines(rows, ratio, least):
     pages, total = {}, {}
     bare = lambda line: line.strip(" \t\r")
