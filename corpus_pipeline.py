@@ -25,11 +25,10 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document with the smallest id;
-    documents without words or without an id are no duplicates of anything and stay."""
-    found = simhash.similar(docs, scratch(spark))
-    rest = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(rest, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) one row with the smallest id;
+    documents without words or without an id are no duplicates of anything and stay.  Rows that repeat an id are
+    taken one by one: an equal or similar text goes, another text stays."""
+    return simhash.without_similar(docs, scratch(spark))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

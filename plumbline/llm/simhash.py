@@ -446,6 +446,15 @@ def similar(docs: DataFrame, folder: str, words: int = 5, similarity: float = 0.
     return rows.join(named, "node", "left").select("doc_id", F.coalesce("first.doc_id", "doc_id").alias("component_id"))
 
 
+def without_similar(docs: DataFrame, folder: str, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs but for those that similar() joins to a smaller doc_id, or to an earlier row of the same one.
+
+    It goes by rows: of rows with one doc_id each has its own text, and stays or goes by that."""
+    rows, named = named_rows(docs, folder, words, similarity)
+    gone = rows.where("node IS NOT NULL").select("row", "node").join(named, "node").where("row <> first.row").select("row")
+    return rows.join(gone, "row", "left_anti").select(*docs.columns)
+
+
 def near_duplicates(docs: DataFrame, folder: str, words: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id that links lead to."""
     prints = materialize(fingerprints(docs, words), folder, "fingerprints")

@@ -65,3 +65,13 @@ def test_stages_against_brute_force(spark, small):
     assert sum(r["length"] for r in packed) == sum(len(enc.encode(got[i] or "")) // 4 + 1 for i in left)
     whole = corpus_pipeline.run(spark, small)
     assert whole.count() == len(packed) and whole.agg(F.sum("length")).first()[0] == sum(r["length"] for r in packed)
+
+
+def test_near_duplicate_stage_takes_rows_of_one_id_apart(spark, small):
+    words = lambda tag: " ".join(f"{tag}{k}" for k in range(60))
+    rows = [(1, words("a")), (2, words("b")), (2, words("b")), (3, words("a")), (3, words("c")), (None, words("a")), (4, None), (4, " ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, small)
+    assert got.columns == docs.columns
+    want = [(1, words("a")), (2, words("b")), (3, words("c")), (None, words("a")), (4, None), (4, " ")]
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in got.collect()))) == sorted(map(str, want))
