@@ -122,7 +122,7 @@ Z90 = NormalDist().inv_cdf(0.95)
 
 def constructions(df: DataFrame, alpha: float = 0.10) -> DataFrame:
     """Interval half-widths of a scored table (case, y, pred, sigma, held): in-sample Gaussian (its sd), held-out Gaussian, row and group
-    conformal, normalised, and by predicted bucket (the pooled radius below five rows).  One row: all radii."""
+    conformal, and normalised (none by predicted bucket).  One row: all radii."""
     r = df.withColumn("a", F.abs(F.col("y") - F.col("pred")))
     gaussian = r.agg((Z90 * F.sqrt(F.avg(F.when(~F.col("held"), F.col("a") * F.col("a"))))).alias("G"), (Z90 * F.stddev_samp(F.when(F.col("held"), F.col("y") - F.col("pred")))).alias("G_cal"))
     row = conformal_higher(r.where("NOT held"), "a", alpha).withColumnRenamed("radius", "C_row")
