@@ -9,16 +9,18 @@ dozen rows a fingerprint instead of thousands.  Every variant of one cell meets
 
 A variant links all that touch it to any fingerprint that is near it, so a cell keeps a
 spanning forest of its links and never lists the pairs of a group: it gives at most one
-edge a fingerprint.  Components then come from alternating large-star and small-star
-steps over these edges, each written to the shared folder.
+edge a fingerprint.  A cell that would hold more than CELL_MOST fingerprints is dealt by further bits, ball and all,
+before anything is shuffled.  Components then come from alternating large-star and small-star
+steps over these edges, each written to the shared folder; a hub's edges meet its least neighbour where they are.
 
 similar() is the same method for word-shingle similarity: near copies at a Jaccard similarity of 0.8
 differ in some 15 % of SimHash bits, far beyond a ball of 64-bit words.  There a document has
-256 bits.  PARTS overlapping words of 32 bits of it are the keys.  Keys are dealt by their first bits, which have to be
+256 bits.  PARTS overlapping words of 32 bits of it are the keys.  Keys are dealt by their first DEALT_BITS bits, which have to be
 equal, and have a radius of four in the others: every key emits all variants within two bits, and whatever
-meets on a variant within a loose bound on all 256 bits is proposed.  Components of proposals are then taken apart by
-the exact similarity of their shingle sets.  A document is sent PARTS times, however many there are,
-and the number of first bits is fixed too, so that what meets does not depend on the size of the corpus.
+meets on a variant within a loose bound on all 256 bits is proposed.  What meets does not depend on the size of the
+corpus: more documents only deal the cells by further bits.  Components of proposals are then taken apart by
+the exact similarity of their shingle sets: all texts of one are compared with the one nearest to the majority of its
+bits, and those that are not similar to that with all texts of the component, in parts of bounded size.
 
 Null texts count as empty (fingerprint zero, linked like any other); repeated rows share a
 fingerprint and so a component; a null doc_id is kept and never names a component unless
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import materialize, ship
+from plumbline.llm.common import forget, materialize, ship, spread_join
 
 BITS = 64
 NEAR, FAR = 1, 2
@@ -45,6 +47,10 @@ SEED = 42
 COUNT_AT_ONCE = 1 << 16
 #: Fingerprints that a cell expands at a time: 2,081 variants of 8 bytes each.
 EXPAND_AT_ONCE = 1_000
+#: Fingerprints that a cell holds at most, unless they agree in their further bits too.
+CELL_MOST = 1 << 20
+#: Further bits by which a larger cell is dealt: as few of these as bring it under the limit.
+FURTHER = (4, 8, 12, 16)
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -150,15 +156,42 @@ def spanning(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarr
 
 def cell_bits(fingerprints: int) -> int:
     """First bits by which variants are dealt: some 2,000 fingerprints to each cell's own part."""
-    return int(min(20, max(4, np.ceil(np.log2(max(1, fingerprints) / 2_000)))))
-
-
-def links(distinct: DataFrame, bits: int) -> DataFrame:
-    """Edges (a, b) of spanning forests of all links between distinct fingerprints (column fp)."""
+    return int(max(4, np.ceil(np.log2(max(1, fingerprints) / 2_000))))
+
+
+def flips_of(bits: int, most: int) -> list[tuple[int, int]]:
+    """(mask, ones) of every cell that a ball of that radius touches."""
+    return [(int(m), k) for k in range(most + 1) for m in masks(bits, k)]
+
+
+def split(dealt: DataFrame, value: str, low: int, radius: int, total: int, folder: str) -> DataFrame:
+    """`dealt` (with cell, apart and `value`, whose lowest `low` bits are not dealt yet), where cells of over CELL_MOST
+    rows are dealt by further bits.  Adds more (how many bits) and sub (which of their values), and counts them in apart.
+
+    `total` values go to a cell at most, so with fewer than CELL_MOST there is nothing to look for."""
+    if total <= CELL_MOST:
+        return dealt.withColumns({"more": F.lit(0), "sub": F.lit(0).cast("long")})
+    further = [x for x in FURTHER if x < low]
+    n, more = F.col("n_"), F.lit(further[-1])
+    for x in reversed(further[:-1]):
+        more = F.when(n * (len(flips_of(x, radius)) / 2**x) <= CELL_MOST, x).otherwise(more)
+    large = dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n_")).where(n > CELL_MOST).select("cell", more.alias("more"))
+    cells = materialize(large, folder, "large_cells")
+    touched = F.array(F.struct(F.lit(0).cast("long").alias("m"), F.lit(0).alias("k")))
+    for x in further:
+        ball = F.array(*[F.struct(F.lit(m).cast("long").alias("m"), F.lit(k).alias("k")) for m, k in flips_of(x, radius)])
+        touched = F.when(F.col("more") == x, F.filter(ball, lambda c: c["k"] <= radius - F.col("apart"))).otherwise(touched)
+    each = dealt.join(cells, "cell", "left").withColumn("more", F.coalesce("more", F.lit(0))).withColumn("c_", F.explode(touched))
+    own = F.expr(f"shiftrightunsigned({value}, {low} - more) & (shiftleft(1L, more) - 1)")
+    return each.withColumns({"sub": own.bitwiseXOR(F.col("c_.m")), "apart": F.col("apart") + F.col("c_.k")}).drop("c_")
+
+
+def links(distinct: DataFrame, total: int, folder: str, bits: int | None = None) -> DataFrame:
+    """Edges (a, b) of spanning forests of all links between `total` distinct fingerprints (column fp)."""
     ship(distinct.sparkSession)
+    bits = cell_bits(total) if bits is None else bits
     low = BITS - bits
-    flips = [(int(m), k) for k in range(FAR + 1) for m in masks(bits, k)]  # one for each cell that a ball touches
-    touched = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.lit(k).alias("apart")) for m, k in flips]))
+    touched = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.lit(k).alias("apart")) for m, k in flips_of(bits, FAR)]))
     dealt = (
         distinct.select("fp", touched.alias("c"))
         .select(F.shiftrightunsigned("fp", low).bitwiseXOR(F.col("c.m")).alias("cell"), "fp", F.col("c.apart").cast("int").alias("apart"))
@@ -170,25 +203,26 @@ def links(distinct: DataFrame, bits: int) -> DataFrame:
         apart = cell.column("apart").to_numpy()
         order = np.argsort(fps, kind="stable")
         fps, apart = fps[order], apart[order]
-        rows, roots = forest(fps, apart, low)
+        rows, roots = forest(fps, apart, low - cell.column("more")[0].as_py())
         return pa.table({"a": fps[rows].view(np.int64), "b": fps[roots].view(np.int64)})
 
-    return dealt.groupBy("cell").applyInArrow(run, schema)
+    return split(dealt, "fp", low, FAR, total, folder).groupBy("cell", "more", "sub").applyInArrow(run, schema)
 
 
 def components(edges: DataFrame, folder: str) -> DataFrame:
     """node, component (its smallest node) for every node of an edge; large-star and small-star
-    in turn until nothing changes.  Each round is written, so plans and lineage stay short."""
+    in turn until nothing changes.  Each round is written, so plans and lineage stay short, and the one before goes."""
+    spark = edges.sparkSession
     edges = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     edges, k = materialize(edges, folder, "edges0"), 0
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, total: int) -> DataFrame:
         """Each node's larger (or smaller) neighbours, and itself, to its smallest neighbour or itself."""
         both = e.select(F.col("b").alias("u"), F.col("a").alias("v"))
         if large:
             both = both.unionByName(e.select(F.col("a").alias("u"), F.col("b").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        joined = both.join(least, "u")
+        joined = spread_join(both, least, "u", 2 * total if large else total)
         moved = joined.where("v > u").select("m", "v") if large else joined.select("m", "v").unionByName(least.select("m", F.col("u").alias("v")))
         return moved.where("m <> v").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
 
@@ -196,7 +230,9 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
     before = print_of(edges)
     while before[0]:
         k += 1
-        edges = materialize(star(materialize(star(edges, True), folder, f"large{k}"), False), folder, f"edges{k}")
+        larger = materialize(star(edges, True, before[0]), folder, f"large{k}")
+        edges = materialize(star(larger, False, larger.count()), folder, f"edges{k}")
+        forget(spark, folder, f"large{k}", f"edges{k - 1}")
         after = print_of(edges)
         if after == before:
             break
@@ -206,13 +242,14 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
 
 
 WIDE, KEY_BITS, PARTS, HALF = 256, 32, 15, 2
-#: First bits of a key by which similar() deals.  They have to be equal, so more of them would lose pairs: a cell of
-#: a large corpus holds more keys instead, and takes them in more turns.
+#: First bits of a key that have to be equal in similar().  More of them would lose pairs, so their number is fixed.
 DEALT_BITS = 4
 #: Pairs of fingerprints that are compared at a time.
 COMPARE_AT_ONCE = 1 << 18
 #: Fingerprints of which a cell of similar() makes the variants at a time, about.
 CELL = 8_000
+#: Bytes of shingle sets to a part and texts to a part, when the texts of a component are compared among themselves.
+PART_BYTES, PART_ROWS = 32 << 20, 2_048
 
 
 def shingles(text: str | None, words: int = 5) -> set[bytes]:
@@ -290,8 +327,9 @@ def verified(values: np.ndarray, owners: np.ndarray, fps: np.ndarray, most: int)
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
 
-def meetings(rest: np.ndarray, low: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(variants, owners) within HALF bits of keys of `low` bits that another key's variant may equal.
+def meetings(rest: np.ndarray, spent: np.ndarray, low: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(variants, owners) within HALF bits of keys of `low` bits that another key's variant may equal; spent: flips that
+    each key has used up on the bits before.
 
     Many keys are taken in turns, by the first bits of the variants, so that memory is bounded."""
     first = int(min(low - 1, max(0, np.ceil(np.log2(max(1, len(rest)) / CELL)))))
@@ -299,7 +337,7 @@ def meetings(rest: np.ndarray, low: int) -> Iterator[tuple[np.ndarray, np.ndarra
     flips = [masks(below, k).astype(np.uint32) for k in range(HALF + 1)]
     tail = (rest & np.uint32((1 << below) - 1)).astype(np.uint32)
     for head in range(1 << first):
-        apart = np.bitwise_count((rest >> np.uint32(below)) ^ np.uint32(head))
+        apart = spent + np.bitwise_count((rest >> np.uint32(below)) ^ np.uint32(head))
         values, owners = [], []
         for k in range(HALF + 1):
             own = np.flatnonzero(apart <= HALF - k)
@@ -312,26 +350,28 @@ def meetings(rest: np.ndarray, low: int) -> Iterator[tuple[np.ndarray, np.ndarra
         yield values[met], owners[met]
 
 
-def similar_links(distinct: DataFrame, bits: int, most: int) -> DataFrame:
-    """Edges (a, b) of spanning forests of the proposed links; `distinct` has node and fp (32 bytes)."""
+def similar_links(distinct: DataFrame, total: int, folder: str, most: int) -> DataFrame:
+    """Edges (a, b) of spanning forests of the proposed links; `distinct` has node and fp (32 bytes), `total` rows."""
     ship(distinct.sparkSession)
-    low = KEY_BITS - bits
+    low = KEY_BITS - DEALT_BITS
     word = lambda k: F.conv(F.hex(F.substring("fp", 2 * k + 1, 4)), 16, 10).cast("long")
     part = F.explode(F.array(*[F.struct(F.lit(k).alias("part"), word(k).alias("key")) for k in range(PARTS)]))
-    dealt = distinct.select("node", "fp", part.alias("p")).select("p.part", F.shiftright("p.key", low).alias("cell"), F.col("p.key").alias("key"), "node", "fp")
+    cell = (F.col("p.part") * (1 << DEALT_BITS) + F.shiftright("p.key", low)).cast("int")
+    dealt = distinct.select("node", "fp", part.alias("p")).select(cell.alias("cell"), F.col("p.key").alias("key"), "node", "fp", F.lit(0).alias("apart"))
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def run(cell):  # a pyarrow Table in and out
+        below = low - cell.column("more")[0].as_py()
         nodes = cell.column("node").to_numpy()
         order = np.argsort(nodes, kind="stable")
         nodes = nodes[order]
         fps = np.frombuffer(b"".join(cell.column("fp").to_pylist()), np.uint64).reshape(-1, WIDE // 64)[order]
-        rest = (cell.column("key").to_numpy()[order] & ((1 << low) - 1)).astype(np.uint32)
-        found = [verified(values, owners, fps, most) for values, owners in meetings(rest, low)]
+        rest = (cell.column("key").to_numpy()[order] & ((1 << below) - 1)).astype(np.uint32)
+        found = [verified(values, owners, fps, most) for values, owners in meetings(rest, cell.column("apart").to_numpy()[order], below)]
         rows, roots = spanning(np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found]), len(nodes))
         return pa.table({"a": nodes[rows], "b": nodes[roots]})
 
-    return dealt.groupBy("part", "cell").applyInArrow(run, schema)
+    return split(dealt, "key", low, HALF, total, folder).groupBy("cell", "more", "sub").applyInArrow(run, schema)
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -339,130 +379,181 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def exact_groups(sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """For each set the first set of its component, where sets of at least that Jaccard similarity are linked.
-
-    Each set that was reached is compared with all that were not, so no link is left out."""
+def near_pairs(asked: list[np.ndarray], sets: list[np.ndarray], similarity: float) -> Iterator[np.ndarray]:
+    """For each of `asked` the places of the sets of at least that Jaccard similarity."""
+    if not sets:
+        yield from (np.empty(0, np.int64) for _ in asked)
+        return
     sizes = np.array([len(x) for x in sets])
-    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    ends = np.cumsum(sizes)
-    root, mark = np.arange(len(sets)), np.zeros(ids.max() + 1, bool)
-    rest, flat = np.arange(len(sets)), ids
-    while len(rest):
-        first, reached = rest[0], [rest[0]]
-        flat, rest = flat[sizes[first] :], rest[1:]
-        while reached and len(rest):
-            at = reached.pop()
-            own = ids[ends[at] - sizes[at] : ends[at]]
-            mark[own] = True
-            both = np.add.reduceat(mark[flat], np.cumsum(sizes[rest]) - sizes[rest], dtype=np.int64)
-            mark[own] = False
-            hit = both / (sizes[at] + sizes[rest] - both) >= similarity
-            if hit.any():
-                root[rest[hit]] = first
-                reached += rest[hit].tolist()
-                flat, rest = flat[np.repeat(~hit, sizes[rest])], rest[~hit]
-    return root
+    known, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    begins, mark = np.cumsum(sizes) - sizes, np.zeros(len(known) + 1, bool)
+    for own in asked:
+        at = np.searchsorted(known, own)
+        at = at[known[np.minimum(at, len(known) - 1)] == own]
+        mark[at] = True
+        both = np.add.reduceat(mark[ids], begins, dtype=np.int64)
+        mark[at] = False
+        yield np.flatnonzero(both / (len(own) + sizes - both) >= similarity)
+
+
+def centres(sets: DataFrame, total: int, folder: str) -> DataFrame:
+    """component, centre: the node whose bits are nearest to the majority of its component's, the smallest of several."""
+    counted = T.StructType([T.StructField("component", T.LongType()), T.StructField("n", T.LongType()), T.StructField("ones", T.ArrayType(T.LongType()))])
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            which, at = np.unique(batch.column(0).to_numpy(), return_inverse=True)
+            bits = np.unpackbits(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, WIDE // 8), axis=1)
+            order = np.argsort(at, kind="stable")
+            n = np.bincount(at)
+            ones = np.add.reduceat(bits[order], np.cumsum(n) - n, axis=0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(n), pa.array(list(ones), pa.list_(pa.int64()))], names=counted.names)
+
+    def vote(group):  # a pyarrow Table in and out; a row for each batch that has the component
+        ones = np.array(group.column("ones").to_pylist(), np.int64).sum(axis=0)
+        n = sum(group.column("n").to_pylist())
+        return pa.table({"component": [group.column("component")[0].as_py()], "majority": [np.packbits(2 * ones > n).tobytes()]})
+
+    votes = sets.select("component", "fp").mapInArrow(count, counted).groupBy("component").applyInArrow(vote, "component long, majority binary")
+    votes = materialize(votes, folder, "wide_votes")
+    gap = F.lit(0)
+    for k in range(WIDE // 64):
+        word = lambda c, k=k: F.conv(F.hex(F.substring(c, 8 * k + 1, 8)), 16, -10).cast("long")
+        gap = gap + F.bit_count(word("fp").bitwiseXOR(word("majority")))
+    gaps = spread_join(sets.select("component", "node", "fp"), votes, "component", total).select("component", F.struct(gap.alias("gap"), "node").alias("g"))
+    return gaps.groupBy("component").agg(F.min("g").alias("g")).select("component", F.col("g.node").alias("centre"))
 
 
 def confirmed(proposed: DataFrame, texts: DataFrame, folder: str, words: int, similarity: float) -> DataFrame:
-    """node, root: the components of `proposed` (node, component, row) taken apart, so that only texts of at least that
-    similarity are linked.  `texts` has row and text.
+    """node, root: the components of `proposed` (node, component, fp) taken apart, so that only texts of at least that
+    similarity are linked.  `texts` has node and text.
 
-    Most components are near copies of their first node and done when all have been compared with that.  The others
-    are gathered whole."""
+    Most components are near copies of their centre and done when all have been compared with that.  What is not similar
+    to its centre ("far") is compared with the whole component, in parts of PART_BYTES or PART_ROWS on either side, so that no task
+    holds more of a component than that.  Each part gives a forest of the links that it finds."""
     long = T.LongType()
-    schema = T.StructType([T.StructField("node", long), T.StructField("component", long), T.StructField("set", T.BinaryType())])
+    schema = T.StructType([T.StructField("node", long), T.StructField("component", long), T.StructField("fp", T.BinaryType()), T.StructField("set", T.BinaryType())])
 
     def to_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [hashed(shingles(t.as_py(), words)).tobytes() for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], names=schema.names)
+            sets = [hashed(shingles(t.as_py(), words)).tobytes() for t in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], names=schema.names)
 
-    sets = proposed.join(texts, "row").select("node", "component", "text").mapInArrow(to_sets, schema)
+    sets = proposed.join(texts, "node").select("node", "component", "fp", "text").mapInArrow(to_sets, schema)
     sets = materialize(sets, folder, "wide_sets")
-    tested = T.StructType([T.StructField("node", long), T.StructField("component", long), T.StructField("near", T.BooleanType())])
+    total = sets.count()
+    centre = materialize(centres(sets, total, folder), folder, "wide_centres")
+    tested = T.StructType([T.StructField("node", long), T.StructField("component", long), T.StructField("centre", long), T.StructField("near", T.BooleanType())])
 
     def test(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = zip(batch.column(2), batch.column(3), strict=True)
+            pairs = zip(batch.column(3), batch.column(4), strict=True)
             near = [jaccard(*(np.frombuffer(x.as_py(), np.uint64) for x in pair)) >= similarity for pair in pairs]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.bool_())], names=tested.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(near, pa.bool_())], names=tested.names)
 
-    lead = sets.where("node = component").select("component", F.col("set").alias("lead"))
-    near = sets.where("node <> component").join(lead, "component").select("node", "component", "set", "lead").mapInArrow(test, tested)
+    lead = centre.join(sets.select(F.col("node").alias("centre"), F.col("set").alias("lead")), "centre")
+    near = spread_join(sets.select("node", "component", "set"), lead, "component", total).select("node", "component", "centre", "set", "lead").mapInArrow(test, tested)
     near = materialize(near, folder, "wide_near")
-    mixed = near.where("not near").select("component").distinct()
-    roots = T.StructType([T.StructField("node", long), T.StructField("root", long)])
-
-    def take_apart(group):  # a pyarrow Table in and out
-        nodes = group.column("node").to_numpy()
-        order = np.argsort(nodes, kind="stable")
-        found = [np.frombuffer(x, np.uint64) for x in group.column("set").to_pylist()]
-        root = exact_groups([found[i] for i in order], similarity)
-        return pa.table({"node": nodes[order], "root": nodes[order][root]})
-
-    apart = sets.join(mixed, "component", "left_semi").groupBy("component").applyInArrow(take_apart, roots)
-    whole = near.join(mixed, "component", "left_anti").select("node", F.col("component").alias("root"))
-    return apart.unionByName(whole)
-
-
-def named_rows(docs: DataFrame, folder: str, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """The rows with a number (row) and a hash of their shingles (node, null for texts without words or an id), and for
-    each node the smallest doc_id of its component, and the row of that (first)."""
+    stars = near.where("near AND node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b"))
+    far = near.where("NOT near").select("node")
+
+    # parts of about PART_BYTES or PART_ROWS: a node's part is a hash, their number comes from the size of its component
+    pieces = F.greatest(F.ceil(F.sum(F.octet_length("set")) / PART_BYTES), F.ceil(F.count(F.lit(1)) / PART_ROWS)).cast("int")
+    mixed = sets.join(far, "node", "left_semi").groupBy("component").agg(pieces.alias("of_far"))
+    sizes = materialize(sets.groupBy("component").agg(pieces.alias("of_all")).join(mixed, "component"), folder, "wide_mixed")
+    which = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    parts = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    states = near.select("node", "centre", "near")
+    within = spread_join(sets.select("node", "component", "set"), sizes, "component", total).join(states, "node")
+    asked = within.where("NOT near").select("component", which("of_far").alias("x"), parts("of_all").alias("y"), F.col("node").alias("ask"), F.lit(None).cast("long").alias("stands"), "set")
+    stands = F.when(F.col("near"), F.col("centre")).otherwise(F.col("node")).alias("stands")
+    every = within.select("component", parts("of_far").alias("x"), which("of_all").alias("y"), F.lit(None).cast("long").alias("ask"), stands, "set")
+
+    def compare(part):  # a pyarrow Table in and out
+        ask, rows = (part.filter(part.column(c).is_valid()) for c in ("ask", "stands"))
+        read = lambda t: [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
+        asks, stands = ask.column("ask").to_numpy().astype(np.int64), rows.column("stands").to_numpy().astype(np.int64)
+        nodes = np.unique(np.concatenate((asks, stands)))
+        place = np.searchsorted(nodes, stands)
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for node, found in zip(np.searchsorted(nodes, asks), near_pairs(read(ask), read(rows), similarity), strict=True):
+            to = np.unique(place[found])
+            a.append(np.full(len(to), node))
+            b.append(to)
+        rows, roots = spanning(np.concatenate(a), np.concatenate(b), len(nodes))
+        return pa.table({"a": nodes[roots], "b": nodes[rows]})
+
+    others = asked.unionByName(every).groupBy("component", "x", "y").applyInArrow(compare, "a long, b long")
+    edges = materialize(stars.unionByName(others), folder, "wide_links")
+    return components(edges, f"{folder}/exact").withColumnRenamed("component", "root")
+
+
+def named_rows(docs: DataFrame, folder: str, words: int, similarity: float) -> tuple[DataFrame, DataFrame, int]:
+    """The rows with a number (row) and 128 bits of their shingles (digest, null for texts without words or an id); for
+    each digest the row with the smallest (doc_id, row) of its component (first); and how many rows have a digest."""
     ship(docs.sparkSession)
     numbered = docs.withColumn("row", F.monotonically_increasing_id())
-    schema = T.StructType([*numbered.schema.fields, T.StructField("fp", T.BinaryType()), T.StructField("node", T.LongType())])
+    schema = T.StructType([*numbered.schema.fields, T.StructField("fp", T.BinaryType()), T.StructField("digest", T.BinaryType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            fps, nodes = [], []
+            fps, digests = [], []
             for i, t in zip(batch.column("doc_id"), batch.column("text"), strict=True):
                 found = shingles(t.as_py(), words) if i.is_valid else set()
                 fps.append(wide_fingerprint(found))
-                nodes.append(xxhash.xxh3_64_intdigest(hashed(found).tobytes()) - (1 << 63) if found else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.binary()), pa.array(nodes, pa.int64())], names=schema.names)
+                digests.append(xxhash.xxh3_128_digest(hashed(found).tobytes()) if found else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.binary()), pa.array(digests, pa.binary())], names=schema.names)
 
     rows = materialize(numbered.mapInArrow(run, schema), folder, "wide")
-    distinct = rows.where("node IS NOT NULL").groupBy("node", "fp").agg(F.min(F.struct("doc_id", "row")).alias("first"))
-    distinct = materialize(distinct, folder, "wide_distinct")
-    proposed = components(similar_links(distinct.select("node", "fp"), DEALT_BITS, most_bits(similarity)), folder)
-    proposed = proposed.join(distinct, "node").select("node", "component", F.col("first.row").alias("row"))
-    found = confirmed(proposed, rows.select("row", "text"), folder, words, similarity)
+    worded = rows.where("digest IS NOT NULL")
+    distinct = worded.groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.first("fp").alias("fp"))
+    # a text's node is the number of its first row: short, and no two texts share it
+    distinct = materialize(distinct.select("digest", F.col("first.row").alias("node"), "first", "fp"), folder, "wide_distinct")
+    edges = similar_links(distinct.select("node", "fp"), distinct.count(), folder, most_bits(similarity))
+    proposed = components(edges, folder).join(distinct.select("node", "fp"), "node")
+    found = confirmed(proposed, rows.select(F.col("row").alias("node"), "text"), folder, words, similarity)
     found = materialize(found, folder, "wide_found")
-    own = distinct.select("node", "first")
-    rooted = own.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first")
+    rooted = distinct.join(found, "node", "left").select("digest", F.coalesce("root", "node").alias("root"), "first")
+    rooted = materialize(rooted, folder, "wide_rooted")
     first = rooted.groupBy("root").agg(F.min("first").alias("first"))
-    return rows, materialize(rooted.select("node", "root").join(first, "root").select("node", "first"), folder, "wide_named")
+    named = spread_join(rooted.select("digest", "root"), first, "root", rooted.count()).select("digest", "first")
+    return rows, materialize(named, folder, "wide_named"), worded.count()
 
 
 def similar(docs: DataFrame, folder: str, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, component_id (the smallest doc_id that similar texts lead to); texts without words stand alone, as do null ids.
 
     Each link has at least that exact Jaccard similarity of word shingles; SimHash only says which texts to compare."""
-    rows, named = named_rows(docs.select("doc_id", "text"), folder, words, similarity)
-    return rows.join(named, "node", "left").select("doc_id", F.coalesce("first.doc_id", "doc_id").alias("component_id"))
+    rows, named, total = named_rows(docs.select("doc_id", "text"), folder, words, similarity)
+    alone = rows.where("digest IS NULL").select("doc_id", F.col("doc_id").alias("component_id"))
+    return spread_join(rows.select("doc_id", "digest"), named, "digest", total).select("doc_id", F.col("first.doc_id").alias("component_id")).unionByName(alone)
 
 
 def without_similar(docs: DataFrame, folder: str, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs but for those that similar() joins to a smaller doc_id, or to an earlier row of the same one.
 
     It goes by rows: of rows with one doc_id each has its own text, and stays or goes by that."""
-    rows, named = named_rows(docs, folder, words, similarity)
-    gone = rows.where("node IS NOT NULL").select("row", "node").join(named, "node").where("row <> first.row").select("row")
-    return rows.join(gone, "row", "left_anti").select(*docs.columns)
+    columns = [f"c{i}" for i in range(len(docs.columns))]  # a caller's columns may have any names, even these
+    plain = docs.toDF(*columns).withColumns({"doc_id": F.col(columns[docs.columns.index("doc_id")]), "text": F.col(columns[docs.columns.index("text")])})
+    plain = plain.drop(columns[docs.columns.index("doc_id")], columns[docs.columns.index("text")])
+    rows, named, total = named_rows(plain, folder, words, similarity)
+    gone = spread_join(rows.select("row", "digest"), named, "digest", total).where("row <> first.row").select("row")
+    kept = rows.join(gone, "row", "left_anti")
+    return kept.select(*[(F.col(c) if c in ("doc_id", "text") else F.col(f"c{i}")).alias(c) for i, c in enumerate(docs.columns)])
 
 
 def near_duplicates(docs: DataFrame, folder: str, words: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id that links lead to."""
     prints = materialize(fingerprints(docs, words), folder, "fingerprints")
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), folder, "distinct")
-    edges = links(distinct.select("fp"), cell_bits(distinct.count()))
-    found = components(edges, folder).withColumnRenamed("node", "fp")
+    total = distinct.count()
+    edges = links(distinct.select("fp"), total, folder)
+    found = materialize(components(edges, folder).withColumnRenamed("node", "fp"), folder, "found")
     group = found.join(distinct, "fp").groupBy("component").agg(F.min("first").alias("component_id"))
-    linked = materialize(found.join(group, "component").select("fp", "component_id"), folder, "linked")
+    linked = materialize(spread_join(found, group, "component", found.count()).select("fp", "component_id"), folder, "linked")
     named = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
     named = materialize(named, folder, "named")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    out = spread_join(prints, named, "fp", prints.count())
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

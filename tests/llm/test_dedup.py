@@ -4,7 +4,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from plumbline.llm import line_dedup, simhash
+from plumbline.llm import common, line_dedup, simhash
 
 
 def plain(text, words):
@@ -55,7 +55,7 @@ def test_fingerprints_links_and_components(documents, folder):
     assert {i: r["component_id"] for i, r in got.items()} == classes(range(len(fps)), linked)
 
 
-def test_links_at_every_distance_and_in_chains(spark, folder):
+def test_links_at_every_distance_and_in_chains(spark, folder, monkeypatch):
     rng = random.Random(8)
     fps = set()
     for _ in range(150):
@@ -72,9 +72,10 @@ def test_links_at_every_distance_and_in_chains(spark, folder):
     signed = [f - 2**64 if f >> 63 else f for f in fps]
     distinct = spark.createDataFrame([(f,) for f in signed], "fp long")
     want = classes(range(len(fps)), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3])
-    for bits in (4, 7):
-        edges = simhash.links(distinct, bits)
-        comp = {r["node"]: r["component"] for r in simhash.components(edges, f"{folder}/{bits}").collect()}
+    for bits, most in ((4, 1 << 20), (7, 1 << 20), (4, 60)):  # the last one deals its cells by further bits
+        monkeypatch.setattr(simhash, "CELL_MOST", most)
+        edges = simhash.links(distinct, len(fps), f"{folder}/cells{bits}-{most}", bits)
+        comp = {r["node"]: r["component"] for r in simhash.components(edges, f"{folder}/{bits}-{most}").collect()}
         place = {f: i for i, f in enumerate(signed)}
         label = {i: comp.get(f, f) for i, f in enumerate(signed)}
         assert all((label[i] == label[j]) == (want[i] == want[j]) for i in range(len(fps)) for j in range(i))
@@ -139,16 +140,46 @@ def test_similar_links_at_the_exact_similarity_only(documents, folder):
     assert got[481] == 481
 
 
-def test_exact_groups_against_all_pairs():
+def test_larger_cells_are_dealt_by_further_bits_and_give_the_same(documents, folder, monkeypatch):
+    rng = random.Random(9)
+    texts = [t for k in range(80) for t in edited(rng, k)] + ["same text of some length here"] * 9
+    before = {r["doc_id"]: r["component_id"] for r in simhash.similar(documents(texts), folder + "/a").collect()}
+    monkeypatch.setattr(simhash, "CELL_MOST", 8)
+    monkeypatch.setattr(common, "HEAVY_ROWS", 2)
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar(documents(texts), folder + "/b").collect()} == before
+
+
+def test_texts_that_are_not_near_the_centre_are_compared_with_all(documents, folder, monkeypatch):
+    """One base with copies on both sides of 0.8, copies of copies and a chain, in one component of proposals."""
+    rng = random.Random(12)
+    base = [f"b{k}" for k in range(200)]
+
+    def copy(words, edits):
+        words = list(words)
+        for at in rng.sample(range(0, 200, 7), edits):
+            words[at] = f"e{rng.randrange(10**6)}"
+        return words
+
+    chain = [base]
+    for _ in range(6):
+        chain.append(copy(chain[-1], 3))
+    made = [copy(base, rng.randrange(1, 9)) for _ in range(60)] + [copy(copy(base, 3), 3) for _ in range(20)] + chain
+    texts = [" ".join(w) for w in made]
+    linked = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8]
+    want = classes(range(len(texts)), linked)
+    for k, most in enumerate((simhash.PART_ROWS, 9)):
+        monkeypatch.setattr(simhash, "PART_ROWS", most)
+        got = {r["doc_id"]: r["component_id"] for r in simhash.similar(documents(texts), f"{folder}/{k}").collect()}
+        assert got == want
+    assert 1 < len(set(want.values())) < 60
+
+
+def test_near_pairs_against_all_pairs():
     rng = random.Random(7)
     sets = [np.array(sorted(rng.sample(range(14), 9 + rng.randrange(4))), np.uint64) for _ in range(150)]
-    root = list(range(150))
-    for i in range(150):
-        for j in range(i):
-            if simhash.jaccard(sets[i], sets[j]) >= 0.8 and root[i] != root[j]:
-                low, high = sorted((root[i], root[j]))
-                root = [low if r == high else r for r in root]
-    assert 1 < len(set(root)) < 150 and simhash.exact_groups(sets, 0.8).tolist() == root
+    got = [x.tolist() for x in simhash.near_pairs(sets[:40], sets, 0.8)]
+    assert got == [[j for j in range(150) if simhash.jaccard(sets[i], sets[j]) >= 0.8] for i in range(40)]
+    assert [x.tolist() for x in simhash.near_pairs(sets[:2], [], 0.8)] == [[], []]
 
 
 def test_links_of_a_variant_are_all_compared():
