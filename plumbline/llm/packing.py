@@ -39,6 +39,8 @@ CACHED_WORDS = 400_000
 FLUSH_BYTES = 8 << 20
 # Fixed value: the characters with Unicode's White_Space property.
 WHITE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: White space at a chunk's start from which it goes through the JSON form: the rank form's pattern takes stack for each character.
+LONG_WHITE = 4_096
 #: A run of white space with the word that follows; no token of a byte-level BPE crosses such a cut.
 CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 
@@ -49,7 +51,8 @@ class Encoder(dict):
     Byte-level BPE never merges across the start of a white-space run, so a text's ids are
     its chunks' ids one after the other and each distinct chunk is encoded once.  Chunks go
     through the rank form of the vocabulary, which gives the ids of the JSON form in half the
-    time; a text that holds the special token's string goes through the JSON form whole.
+    time; a text that holds the special token's string goes through the JSON form whole, and so does a chunk with a long
+    run of white space, in which the rank form would run out of stack.
     """
 
     def __init__(self, vocabulary: str = VOCABULARY):
@@ -69,7 +72,8 @@ class Encoder(dict):
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= CACHED_WORDS:
             self.clear()
-        ids = np.array(self.ranks.encode_ordinary(chunk), dtype="<u4").tobytes()
+        long_white = len(chunk) > LONG_WHITE and chunk[:LONG_WHITE].isspace()
+        ids = np.array(self.whole.encode(chunk, add_special_tokens=False).ids if long_white else self.ranks.encode_ordinary(chunk), dtype="<u4").tobytes()
         if len(chunk) <= 64:
             self[chunk] = ids
         return ids

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -29,6 +30,24 @@ def test_special_token_in_a_text_is_read_as_tokenizers_reads_it():
     assert np.frombuffer(packing.encoder().encode(text), "<u4").tolist() == whole([text])[0]
 
 
+@pytest.mark.parametrize("white", [" ", "\t", "\n", "\r", "\x0b", " \n", "\u3000", "\xa0"])
+def test_a_million_white_characters_have_the_ids_of_the_whole_text(white):
+    text = "a " + white * (10**6 // len(white)) + "b"
+    assert np.frombuffer(packing.encoder().encode(text), "<u4").tolist() == whole([text])[0]
+
+
+def test_runs_around_the_limit_have_the_ids_of_the_whole_text():
+    texts = [c * n + tail for c in (" ", "\n", " \t") for n in range(packing.LONG_WHITE - 2, packing.LONG_WHITE + 3) for tail in ("", "x", "!")]
+    assert [np.frombuffer(packing.encoder().encode(t), "<u4").tolist() for t in texts] == whole(texts)
+
+
+def test_null_ids_and_long_runs_in_a_table(documents, folder):
+    texts = [" " * 10**6, "\n" * 10**6, None, "x"]
+    rows = packing.pack(packing.tokenize(documents(texts, ids=[1, 2, None, None]), folder)).collect()
+    assert sum(r["length"] for r in rows) == sum(len(x) + 1 for x in whole([t or "" for t in texts]))
+    assert sorted(r["length"] for r in rows if r["doc_id"] is None) == [1, 2]
+
+
 def test_cut_leaves_only_the_first_piece_short():
     assert packing.cut(5, 4) == [(0, 1), (1, 4)]
     assert packing.cut(8, 4) == [(0, 4), (4, 4)]
