@@ -9,9 +9,9 @@ the common prefix stay on the stack and only the rest is scored.
 The vocabulary's pieces and scores are those of a given model file; the segmentation is the one of the
 highest summed score (a tie goes to the longer last piece).  A character that no piece covers becomes its bytes.
 
-Null texts count as empty and have no pieces; repeated rows are encoded each; other columns are
+Null texts count as empty and have no pieces; null ids are kept; repeated rows are encoded each; other columns are
 ignored.  A text that holds the mark itself decodes with a space in its place, as the format
-has no escape for it.
+has no escape for it; round_trip() marks such rows as not exact.
 """
 
 from __future__ import annotations
@@ -31,8 +31,9 @@ from plumbline.llm.common import ship
 MARK = "▁"
 VOCABULARY = "piece_bpe_32k"
 UNKNOWN = -1e9 - 10
-#: Words after which a worker starts a new generation of its cache (it keeps two), and characters that it takes at a time: both bound its memory.
-CACHED_WORDS = 300_000
+#: Bytes after which a worker starts a new generation of its cache (it keeps two), what a word costs beside its characters
+#: and ids, the longest word that it keeps, and characters that it takes at a time: all bound its memory.
+CACHED_BYTES, WORD_BYTES, LONGEST_KEPT = 64 << 20, 250, 64
 CHARS_AT_ONCE = 2_000_000
 
 
@@ -108,39 +109,63 @@ def vocabulary(name: str = VOCABULARY) -> Vocabulary:
     return Vocabulary.load(name)
 
 
-def encode(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
-    """doc_id, ids: the pieces of every text."""
+class Cache:
+    """Ids of words, in two generations: a word of the older one moves over when it occurs, the rest goes with it."""
+
+    def __init__(self, vocab: Vocabulary):
+        self.vocab, self.new, self.old, self.held = vocab, {}, {}, 0
+
+    def solve(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of each of the words; those that are not known are solved together, in sorted order."""
+        found = {}
+        for w in words:
+            ids = self.new.get(w)
+            if ids is None and (ids := self.old.get(w)) is not None:
+                self.keep(w, ids)
+            if ids is not None:
+                found[w] = ids
+        for w, ids in self.vocab.solve(sorted(words.difference(found))):
+            found[w] = ids
+            if len(w) <= LONGEST_KEPT:
+                self.keep(w, ids)
+        return found
+
+    def keep(self, word: str, ids: bytes) -> None:
+        if self.held > CACHED_BYTES:
+            self.new, self.old, self.held = {}, self.new, 0
+        self.new[word] = ids
+        self.held += 4 * len(word) + len(ids) + WORD_BYTES
+
+
+def encode(docs: DataFrame, name: str = VOCABULARY, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns named in `keep`, and ids: the pieces of every text."""
     ship(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
+    docs = docs.select("doc_id", *keep, "text")
+    schema = T.StructType([*docs.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, known, older = vocabulary(name), {}, {}
-
-        def solved(begin: int, cut: list[list[str]], doc_ids: pa.Array) -> pa.RecordBatch:
-            nonlocal known, older
-            if len(known) > CACHED_WORDS:
-                known, older = {}, known  # words that still occur move over, the others go at the next change
-            new = {w for words in cut for w in words}.difference(known)
-            held = new.intersection(older)
-            known.update((w, older[w]) for w in held)
-            known.update(vocab.solve(sorted(new - held)))
+        vocab = vocabulary(name)
+        cache = Cache(vocab)
+
+        def solved(begin: int, cut: list[list[str]], batch: pa.RecordBatch) -> pa.RecordBatch:
+            known = cache.solve({w for words in cut for w in words})
             parts = [b"".join(map(known.__getitem__, words)) for words in cut]
             offsets = np.concatenate(([0], np.cumsum([len(p) // 4 for p in parts]))).astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(parts), dtype="<i4"))
-            return pa.RecordBatch.from_arrays([doc_ids.slice(begin, len(cut)), pa.ListArray.from_arrays(pa.array(offsets), values)], names=schema.names)
+            kept = [c.slice(begin, len(cut)) for c in batch.columns[:-1]]
+            return pa.RecordBatch.from_arrays([*kept, pa.ListArray.from_arrays(pa.array(offsets), values)], names=schema.names)
 
         for batch in batches:
             begin, cut, held = 0, [], 0
-            for i, text in enumerate(batch.column(1)):
+            for i, text in enumerate(batch.column(batch.num_columns - 1)):
                 text = text.as_py() or ""
                 cut.append(vocab.words(text))
                 held += len(text)
                 if held >= CHARS_AT_ONCE:
-                    yield solved(begin, cut, batch.column(0))
+                    yield solved(begin, cut, batch)
                     begin, cut, held = i + 1, [], 0
             if cut:
-                yield solved(begin, cut, batch.column(0))
+                yield solved(begin, cut, batch)
 
     return docs.mapInArrow(run, schema)
 
@@ -163,6 +188,8 @@ def decode(encoded: DataFrame, name: str = VOCABULARY) -> DataFrame:
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
-    """doc_id, ids, n_ids and the decoded text's CRC-32."""
-    crc = F.crc32(F.col("text").cast("binary")).alias("decoded_crc32")
-    return decode(encode(docs)).select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), crc)
+    """doc_id, ids, n_ids, the decoded text's CRC-32, and whether it is the text's (null: empty)."""
+    crc = lambda c: F.crc32(F.coalesce(c, F.lit("")).cast("binary"))
+    texts = docs.select("doc_id", "text", crc(F.col("text")).alias("crc"))
+    back = decode(encode(texts, keep=("crc",))).withColumn("decoded_crc32", crc(F.col("text")))
+    return back.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), "decoded_crc32", (F.col("crc") == F.col("decoded_crc32")).alias("exact"))

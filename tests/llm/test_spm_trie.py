@@ -97,5 +97,22 @@ def test_round_trip_of_odd_texts(spark, documents):
     assert got[2]["ids"] == encode(spm_trie.vocabulary(), "a")
 
 
+def test_cache_is_bounded_in_bytes_and_changes_nothing(monkeypatch):
+    vocab, rng = spm_trie.vocabulary(), random.Random(4)
+    monkeypatch.setattr(spm_trie, "CACHED_BYTES", 20_000)
+    cache = spm_trie.Cache(vocab)
+    for _ in range(30):
+        asked = {"".join(rng.choice("abcd") for _ in range(rng.randrange(1, 5))) for _ in range(60)} | {"x" * rng.randrange(60, 3000) for _ in range(5)}
+        assert cache.solve(asked) == dict(vocab.solve(sorted(asked)))
+        kept = {**cache.new, **cache.old}
+        assert sum(4 * len(w) + len(i) + spm_trie.WORD_BYTES for w, i in kept.items()) <= 2 * (20_000 + 1_000)
+        assert all(len(w) <= spm_trie.LONGEST_KEPT for w in kept)
+
+
+def test_rows_that_do_not_come_back_are_marked(documents):
+    got = {r["doc_id"]: r["exact"] for r in spm_trie.round_trip(documents(["a b", "a\u2581b", None, ""])).collect()}
+    assert got == {0: True, 1: False, 2: True, 3: True}
+
+
 def test_empty_table(documents):
     assert spm_trie.round_trip(documents([])).count() == 0
