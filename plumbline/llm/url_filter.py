@@ -1,8 +1,8 @@
 """URL rules by hashed host-suffix and path-prefix expressions, with DataFrame functions alone.
 
 Each URL is expanded into the expressions (host suffix at a label boundary, followed by a
-path prefix) that could equal a rule; only the label counts and path lengths that
-rules have are tried, so a URL gives at most their product, however long it is.  Expressions
+path prefix) that could equal a rule; only the pairs of label count and path length that
+rules have are tried, however long the URL is.  Expressions
 are joined to rules on the first 32 bits of their SHA-256, then the full digest confirms.
 Of the rules that fit, the longest wins (host and path together; then the longer host; then block).
 
@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions.settle import settle
+
 DEFAULT = "allow"
 #: The rules that the registered query applies: host, path, verdict.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -38,30 +40,27 @@ def parts(pages: DataFrame, url: str = "url") -> DataFrame:
 
 
 def judge(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url: str = "url", default: str = DEFAULT) -> DataFrame:
-    """page_id, host, path, rule, verdict."""
+    """page_id, host, path, rule, verdict.
+
+    Only a row's number and the digests of its expressions go through the join; what fits comes back to the row."""
     rules = rules.where("host IS NOT NULL AND path IS NOT NULL AND verdict IS NOT NULL")
-    # distinct label counts and path lengths: bounded by the longest URL, not by the number of rules
-    labels = sorted(r[0] for r in rules.select(F.size(F.split("host", r"\."))).distinct().collect())
-    lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect())
+    # distinct (label count, path length): bounded by the square of the longest URL, not by the number of rules
+    shapes = sorted(map(tuple, rules.select(F.size(F.split("host", r"\.")), F.length("path")).distinct().collect()))
     rule = F.concat(F.col("host"), F.col("path"))
-    keyed = rules.select(
-        rule.alias("rule"), F.sha2(rule, 256).alias("full"), F.struct(F.length(rule).alias("n"), F.length("host").alias("h"), (F.col("verdict") == "block").alias("b"), rule.alias("rule"), "verdict").alias("won")
-    ).select(F.substring("full", 1, PREFIX_DIGITS).alias("short"), "full", "won")
-    seen = parts(pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url")), "url").select(F.monotonically_increasing_id().alias("row"), "page_id", "host", "path")
+    won = F.struct(F.length(rule).alias("n"), F.length("host").alias("h"), (F.col("verdict") == "block").alias("b"), rule.alias("rule"), "verdict").alias("won")
+    keyed = rules.select(F.sha2(rule, 256).alias("full"), won).select(F.substring("full", 1, PREFIX_DIGITS).alias("short"), "full", "won")
+    seen = parts(pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url")), "url").select("page_id", "host", "path")
+    seen = settle(seen.withColumn("row", F.monotonically_increasing_id()))
     names = F.split("host", r"\.")
-    tries = F.flatten(
-        F.transform(
-            F.filter(F.array(*[F.lit(c) for c in labels]).cast("array<int>"), lambda c: c <= F.size(names)),
-            lambda c: F.transform(
-                F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("path")),
-                lambda n: F.concat(F.array_join(F.slice(names, F.size(names) - c + 1, c), "."), F.substr(F.col("path"), F.lit(1), n)),
-            ),
-        )
+    shape = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(n).alias("n")) for c, n in shapes]).cast("array<struct<c:int,n:int>>")
+    tries = F.transform(
+        F.filter(shape, lambda s: (s["c"] <= F.size(names)) & (s["n"] <= F.length("path"))),
+        lambda s: F.concat(F.array_join(F.slice(names, F.size(names) - s["c"] + 1, s["c"]), "."), F.substr(F.col("path"), F.lit(1), s["n"])),
     )
-    expanded = seen.select("row", "page_id", "host", "path", F.explode_outer(tries).alias("tried")).withColumn("digest", F.sha2("tried", 256))
-    hit = expanded.join(keyed, (F.substring("digest", 1, PREFIX_DIGITS) == F.col("short")) & (F.col("digest") == F.col("full")), "left")
-    best = hit.groupBy("row").agg(F.first("page_id").alias("page_id"), F.first("host").alias("host"), F.first("path").alias("path"), F.max("won").alias("won"))
-    return best.select("page_id", "host", "path", F.col("won.rule").alias("rule"), F.coalesce("won.verdict", F.lit(default)).alias("verdict"))
+    digests = seen.select("row", F.explode(tries).alias("tried")).select("row", F.sha2("tried", 256).alias("digest"))
+    hit = digests.join(keyed, (F.substring("digest", 1, PREFIX_DIGITS) == F.col("short")) & (F.col("digest") == F.col("full")))
+    best = hit.groupBy("row").agg(F.max("won").alias("won"))
+    return seen.join(best, "row", "left").select("page_id", "host", "path", F.col("won.rule").alias("rule"), F.coalesce("won.verdict", F.lit(default)).alias("verdict"))
 
 
 SQL = r"""
