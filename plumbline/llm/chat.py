@@ -45,12 +45,13 @@ def unescape_role(role: Column) -> Column:
 
 
 def threads(conversations: DataFrame) -> DataFrame:
-    """Conversations as trees without branches: tree, node, parent, role, text, score."""
+    """Conversations as trees without branches: tree, node, parent, role, text, and as score the characters to learn."""
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     numbered = conversations.select("conv_id", "role", "text", F.row_number().over(order).cast("long").alias("node"))
     return numbered.select(
         F.col("conv_id").alias("tree"), "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"),
-        F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.lit(0.0).alias("score"),
+        F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
+        F.when(F.col("role") == LEARNED, F.length(F.coalesce("text", F.lit("")))).otherwise(0).cast("double").alias("score"),
     )
 
 
@@ -118,7 +119,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def digests(conversations: DataFrame, folder: str) -> DataFrame:
-    parsed = read_back(format_branches(threads(conversations), folder))
+    parsed = read_back(format_branches(threads(conversations), folder, keep=1))
     said = F.array_join(F.transform("parsed", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return parsed.select(
         F.col("tree").alias("conv_id"), F.size("parsed").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
