@@ -6,15 +6,17 @@ tables hashes a vector to WIDTH-wide cells of HASHES Gaussian projections.  A qu
 its own bucket of a table and then perturbed ones, in the order of their estimated
 success: the sum of squared distances to the cell borders that the perturbation crosses, by
 their expected values, so one order serves all queries (Lv et al.).  The candidates of all tables are merged and
-ranked by the inner product of the original vectors in double precision.
+ranked by the inner product of the original vectors in double precision.  Only candidates are scored.
 
 Every row is indexed: the index is a written table of the rows with their TABLES keys, and a
 task holds the buckets of its own rows.  So a bucket that holds a third of all rows is spread
 over the tasks as the rows are, and no candidate is dropped.  Queries go
 to the tasks in blocks of bounded size.
 
-The number of probes is fitted to reach TARGET recall on a sample of at most SAMPLE rows. Neighbours in a
-sample are farther than those among all rows, so larger tables do better than the fit says.
+The number of probes is fitted to reach TARGET recall on a sample of at most SAMPLE rows and SAMPLE_BYTES. Neighbours in a
+sample are farther than those among all rows, so larger tables do better than the fit says.  Where MOST_PROBES do not reach
+it, and for vectors of a length that the sample does not have, all rows of the length are candidates.  A query whose probes
+find fewer than k rows is asked once more, of all rows of its length, so a table with few rows gives them all.
 
 Vectors that are null, empty, all zero, or hold null or non-finite components take no part, nor do
 null ids; vectors meet only others of their length; rows of one vec_id are one item to each other.
@@ -32,15 +34,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import materialize, ship
-from plumbline.llm.topk import QUERY_TILE, blocked, numbered
+from plumbline.llm.topk import QUERY_TILE, Lists, blocked, by_length, listed, numbered
 
-TABLES, HASHES, WIDTH = 10, 8, 2.0
+TABLES, HASHES, WIDTH = 20, 16, 3.0
 K = 20
-TARGET = 0.96
-SAMPLE, SAMPLE_QUERIES = 16_384, 200
+TARGET = 0.95
+SAMPLE, SAMPLE_BYTES, SAMPLE_QUERIES = 16_384, 32 << 20, 200
 MOST_PROBES = 4_096
 QUERY_BLOCK = 8_192
-TILE = 8_192
+#: Rows that are visited at a time, and bytes of probes that a task keeps for all its rows.
+TILE, PROBE_BYTES = 8_192, 64 << 20
 SEED = 20_240_229
 
 
@@ -132,10 +135,10 @@ def probes(at: np.ndarray, multipliers: np.ndarray, sets: list[tuple[int, ...]])
     return keys
 
 
-def fit_probes(ids: np.ndarray, x: np.ndarray, largest: float, k: int) -> int:
-    """The fewest probes a table that find TARGET of the sample queries' true neighbours."""
+def fit_probes(ids: np.ndarray, x: np.ndarray, largest: float, k: int) -> int | None:
+    """The fewest probes a table that find TARGET of the sample queries' true neighbours; none if MOST_PROBES do not."""
     if len(ids) < 2:
-        return 1
+        return None
     drawn, sets = projections(x.shape[1]), order(HASHES, MOST_PROBES)
     asked = np.arange(0, len(ids), max(1, len(ids) // SAMPLE_QUERIES))[:SAMPLE_QUERIES]
     scores = x[asked] @ x.T
@@ -153,7 +156,8 @@ def fit_probes(ids: np.ndarray, x: np.ndarray, largest: float, k: int) -> int:
             by = np.argsort(visited[q], kind="stable")
             at_key = np.minimum(np.searchsorted(visited[q], keys[true[q]], sorter=by), len(by) - 1)
             needed[q] = np.minimum(needed[q], np.where(visited[q][by[at_key]] == keys[true[q]], by[at_key], MOST_PROBES))
-    return int(min(MOST_PROBES, 1 + np.sort(needed.ravel())[int(np.ceil(TARGET * needed.size)) - 1]))
+    least = int(np.sort(needed.ravel())[int(np.ceil(TARGET * needed.size)) - 1])
+    return None if least >= len(sets) else 1 + least
 
 
 def build(rows: DataFrame, folder: str) -> tuple[DataFrame, float]:
@@ -178,65 +182,118 @@ def build(rows: DataFrame, folder: str) -> tuple[DataFrame, float]:
     return materialize(rows.mapInArrow(index, "vec_id long, x array<double>, keys array<long>"), folder, "index"), largest
 
 
-def visit(own: np.ndarray, asks: np.ndarray, wanted: list[np.ndarray], ids: np.ndarray, x: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query's place, id, score) of each query's best k among the rows in the buckets that it visits."""
-    seen = np.zeros((len(own), len(ids)), bool)
-    for t, visited in enumerate(wanted):
-        buckets, bucket_of = np.unique(keys[:, t], return_inverse=True)
-        at = np.minimum(np.searchsorted(buckets, visited), len(buckets) - 1)
-        q, n = np.nonzero(buckets[at] == visited)
-        member = np.zeros((len(own), len(buckets)), bool)
-        member[q, at[q, n]] = True
-        seen |= member[:, bucket_of]
-    seen &= own[:, None] != ids[None, :]
-    scores = np.where(seen, asks @ x.T, -np.inf)
-    k = min(k, len(ids))
-    # a product's last bits depend on its place in the matrix: take what is within rounding of the k-th, then rank exactly
-    slack = 1e-12 * np.linalg.norm(asks, axis=1)[:, None] * float(np.linalg.norm(x, axis=1).max(initial=0))
-    limit = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k][:, None]
-    at, row = np.nonzero((scores >= np.where(np.isfinite(limit), limit - slack, -np.inf)) & seen)
-    return at, ids[row], np.concatenate([(asks[at[i : i + 65536]] * x[row[i : i + 65536]]).sum(axis=1) for i in range(0, max(1, len(at)), 65536)])
+def visited(keys: np.ndarray, wanted: list[np.ndarray]) -> np.ndarray:
+    """queries x rows: whether a row lies in a bucket that the query visits, in any table."""
+    seen = np.zeros((len(wanted[0]), len(keys)), bool)
+    for t, asked in enumerate(wanted):
+        by = np.argsort(keys[:, t], kind="stable")
+        held = keys[by, t]
+        buckets, begin = np.unique(held, return_index=True)
+        at = np.minimum(np.searchsorted(buckets, asked), len(buckets) - 1)
+        q, n = np.nonzero(buckets[at] == asked)
+        which = at[q, n]
+        size = np.diff(np.append(begin, len(held)))[which]
+        row = by[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - begin[which], size)]
+        seen[np.repeat(q, size), row] = True
+    return seen
+
+
+def best_of(own: np.ndarray, asks: np.ndarray, seen: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> Lists:
+    """Each query's best k of its candidates (queries x rows); nothing else is scored."""
+    norm, out = np.linalg.norm(x, axis=1), []
+    for q, ask in enumerate(asks):
+        rows = np.flatnonzero(seen[q])
+        rows = rows[ids[rows] != own[q]]
+        scores = x[rows] @ ask
+        if len(rows) > k:
+            # a product's last bits depend on its place in the matrix: take what is within rounding of the k-th, then rank exactly
+            limit = np.partition(scores, len(rows) - k)[len(rows) - k] - 1e-12 * float(np.linalg.norm(ask)) * float(norm.max())
+            rows = rows[scores >= limit]
+        out.append((np.full(len(rows), q), ids[rows], (x[rows] * ask).sum(axis=1)))
+    return listed(*(np.concatenate(c) for c in zip(*out, strict=True)))
 
 
 def first_copies(ids: np.ndarray, x: np.ndarray, most: int) -> np.ndarray:
-    """Places of the `most` smallest ids of each distinct vector: others can't be among anyone's `most` - 1 best."""
+    """Places of the rows of each distinct vector with its `most` smallest ids, `most` of an id: others can't be among anyone's `most` - 1 best."""
     _, group = np.unique(np.ascontiguousarray(x + 0.0).view(f"V{8 * x.shape[1]}")[:, 0], return_inverse=True)
-    by = np.lexsort((ids, group))
-    sorted_group = group[by]
-    rank = np.arange(len(by)) - np.searchsorted(sorted_group, sorted_group, side="left")
-    return by[rank < most]
+    by = np.lexsort((ids, group.ravel()))
+    group, sorted_ids = group.ravel()[by], ids[by]
+    new = np.concatenate(([True], (group[1:] != group[:-1]) | (sorted_ids[1:] != sorted_ids[:-1])))  # a new id of the vector
+    place = np.arange(len(by))
+    item = np.cumsum(new)
+    of_vector = item - item[np.searchsorted(group, group, side="left")]
+    of_id = place - np.maximum.accumulate(np.where(new, place, 0))
+    return by[(of_vector < most) & (of_id < most)]
 
 
-def search(rows: DataFrame, queries: DataFrame, folder: str, k: int = K, block: int = QUERY_BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score: each query's k best of the rows that its probes find."""
+def search(rows: DataFrame, queries: DataFrame, folder: str, k: int = K, block: int = QUERY_BLOCK, shares: list | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score: each query's k best of the rows that its probes find.
+
+    shares: takes (length, probes a table, share of all pairs that are candidates in the sample) for a report."""
     index, largest = build(rows, folder)
-    sample = index.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec_id", "x").collect()
-    by_length: dict[int, list] = {}
-    for r in sample:
-        by_length.setdefault(len(r["x"]), []).append(r)
-    counts = {n: fit_probes(np.array([r["vec_id"] for r in g]), np.array([r["x"] for r in g]), largest, k) for n, g in by_length.items()}
+    longest = index.agg(F.max(F.size("x"))).first()[0] or 1
+    most = max(1, min(SAMPLE, SAMPLE_BYTES // (8 * longest)))
+    sample = index.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).select(F.lit(0).cast("long").alias("query"), "vec_id", "x").toArrow()
+    counts = {}
+    for n, (_, ids, x) in by_length(sample).items():
+        counts[n] = fit_probes(ids, x, largest, k)
+        if shares is not None:
+            shares.append((n, counts[n], share(x, largest, counts[n])))
     asked = numbered(queries, folder, valid)
 
-    def work(batch: pa.RecordBatch, packed: dict) -> list:
+    def work(batch: pa.RecordBatch, packed: dict, whole: bool, kept: dict) -> list[Lists]:
         lists = []
         lengths = np.diff(batch.column("x").offsets.to_numpy())
-        for n in np.unique(lengths):
-            if int(n) not in packed:
+        for n in np.unique(lengths).tolist():
+            if n not in packed:
                 continue
             here = batch.filter(pa.array(lengths == n))
             ids = here.column("vec_id").to_numpy()
             x = here.column("x").flatten().to_numpy().reshape(len(ids), n)
             keys = here.column("keys").flatten().to_numpy().reshape(len(ids), TABLES)
-            number, own, asks = packed[int(n)]
-            drawn, sets = projections(int(n)), order(HASHES, counts.get(int(n), MOST_PROBES))
+            number, own, asks = packed[n]
             for j in range(0, len(own), QUERY_TILE):
-                part = slice(j, j + QUERY_TILE)
-                unit = as_queries(asks[part])
-                wanted = [probes(places(unit, t, drawn), drawn[2][t], sets) for t in range(TABLES)]
+                part, wanted = slice(j, j + QUERY_TILE), None
+                if not whole and counts.get(n) is not None:
+                    wanted = kept.get((n, j)) or asked_keys(asks[part], counts[n])
+                    if sum(w.nbytes for other in kept.values() for w in other) < PROBE_BYTES:
+                        kept[n, j] = wanted
                 for i in range(0, len(ids), TILE):
                     few = i + first_copies(ids[i : i + TILE], x[i : i + TILE], k + 1)
-                    at, found, score = visit(own[part], asks[part], wanted, ids[few], x[few], keys[few], k)
-                    lists.append((number[part][at], found, score))
+                    seen = np.ones((len(own[part]), len(few)), bool) if wanted is None else visited(keys[few], wanted)
+                    at, *found = best_of(own[part], asks[part], seen, ids[few], x[few], k)
+                    lists.append((number[j + at], *found))
         return lists
 
-    return blocked(index, asked, folder, k, block, "double", work)
+    def of_a_task(whole: bool):
+        """work() for one task's batches: its probes are made once, as far as PROBE_BYTES go."""
+        kept: dict = {}
+        return lambda batch, packed: work(batch, packed, whole, kept)
+
+    found = blocked(index, asked, f"{folder}/probed", k, block, "double", of_a_task(False))
+    found = materialize(found, folder, "probed_tops")
+    enough = found.groupBy("query").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("query")
+    short = materialize(asked.join(enough, "query", "left_anti"), folder, "short")
+    if not short.isEmpty():
+        anew = numbered(short.select("vec_id", F.col("x").alias("embedding")), f"{folder}/whole", valid)
+        again = blocked(index, anew, f"{folder}/whole", k, block, "double", of_a_task(True))
+        found = found.join(short.select("query"), "query", "left_anti").unionByName(again)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
+def asked_keys(asks: np.ndarray, count: int) -> list[np.ndarray]:
+    """By table the keys of the buckets that each query visits."""
+    drawn, sets = projections(asks.shape[1]), order(HASHES, count)
+    unit = as_queries(asks)
+    return [probes(places(unit, t, drawn), drawn[2][t], sets) for t in range(TABLES)]
+
+
+def share(x: np.ndarray, largest: float, count: int | None) -> float:
+    """Share of the sample that its queries visit."""
+    if count is None:
+        return 1.0
+    drawn, unit = projections(x.shape[1]), as_rows(x, largest)
+    with np.errstate(over="ignore"):
+        keys = np.stack([(np.floor(places(unit, t, drawn)).astype(np.int64) * drawn[2][t]).sum(axis=1) for t in range(TABLES)], axis=1)
+    asked = np.arange(0, len(x), max(1, len(x) // SAMPLE_QUERIES))[:SAMPLE_QUERIES]
+    return float(visited(keys, asked_keys(x[asked], count)).mean())
