@@ -36,7 +36,7 @@ def test_stages_against_brute_force(spark, small):
     """Each stage on its own input; in the end every token of what was kept has a place."""
     docs = spark.read.parquet(f"{small}/documents.parquet")
     labels = spark.read.parquet(f"{small}/labels.parquet")
-    model = toxicity.fit(toxicity.training_rows(docs, labels))
+    model = toxicity.fit([(r["text"], r["label"]) for r in toxicity.training_rows(docs, labels).collect()])
     rows = {r["doc_id"]: r for r in docs.collect()}
     stages = dict(corpus_pipeline.STAGES)
     clean = stages["toxicity"](spark, docs, small)

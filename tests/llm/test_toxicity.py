@@ -1,5 +1,9 @@
+import math
+import random
 import zlib
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,12 +26,10 @@ def brute_segments(steps):
 
 
 def test_segments_are_the_maximal_ones():
-    import random
-
     rng = random.Random(7)
     for _ in range(150):
         n = rng.randrange(1, 25)
-        hits = [(i, rng.choice([1.0, 2.5, 4.0]) + rng.random() / 100) for i in range(n) if rng.random() < 0.4]
+        hits = [(i, rng.choice([1.0, 2.5, 4.0, -1.5]) + rng.random() / 100) for i in range(n) if rng.random() < 0.4]
         steps = [dict(hits).get(i, -0.7) for i in range(n)]
         got = X.segments(hits, 0.7)
         want = brute_segments(steps)
@@ -35,6 +37,56 @@ def test_segments_are_the_maximal_ones():
         assert [s for *_, s in got] == pytest.approx([s for *_, s in want])
 
 
+def test_a_word_of_clean_texts_speaks_against_a_passage():
+    rows = [(f"good kind words {i}", 0) for i in range(60)] + [(f"vile grubby {i} thing", 1) for i in range(60)]
+    model = X.fit(rows)
+    assert model.weights["grubby"] > 0 > model.weights["kind"] and not any(w < 0 for t, w in model.weights.items() if t.endswith("*"))
+    alone, among = (X.passages(t, model)[0] for t in ("grubby vile grubby vile", "grubby kind kind vile kind kind grubby kind kind vile"))
+    assert X.strength(alone) > X.strength(among)
+
+
+def test_decay_is_the_root():
+    rng = random.Random(2)
+    for _ in range(20):
+        values = Counter({rng.uniform(0.5, 5): 1 + rng.randrange(5), -rng.uniform(0.5, 2): 400, -3.0: rng.randrange(9)})
+        rate = X.decay(values)
+        assert sum(n * math.exp(rate * s) for s, n in values.items()) / values.total() == pytest.approx(1, abs=1e-9)
+
+
+def test_extreme_values_against_simulation():
+    """Random texts of known steps: the fitted K and lambda say how often a best segment passes a score."""
+    rng = np.random.default_rng(3)
+    steps, p = np.array([2.0, 1.0, -0.5, -1.0]), np.array([0.05, 0.1, 0.25, 0.6])
+    rate = X.decay(Counter({s: round(1000 * q) for s, q in zip(steps.tolist(), p.tolist(), strict=True)}))
+
+    def best(n):
+        x = rng.choice(steps, n, p=p).tolist()
+        return max((s for *_, s in X.segments(list(enumerate(x)), 0.0)), default=0.0)
+
+    k = X.extreme([(n, best(n)) for n in rng.integers(200, 600, 1500).tolist()], rate)
+    fresh = np.array([best(400) for _ in range(1500)])
+    for s in (6.0, 8.0, 10.0):
+        said, seen = 1 - math.exp(-k * 400 * math.exp(-rate * s)), float((fresh > s).mean())
+        assert abs(said - seen) <= 0.05 + 0.3 * seen
+
+
+def test_spark_learns_what_the_plain_fit_learns(spark, small):
+    big = small.replace("0.001", "0.01")
+    docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
+    rows = [(r["text"], r["label"]) for r in X.training_rows(docs, labels).collect()]
+    want, got = X.fit(rows), X.learn(docs, labels)
+    assert got.weights == want.weights and got.weights
+    assert (got.drift, got.rate, got.k, got.slope, got.base) == pytest.approx((want.drift, want.rate, want.k, want.slope, want.base))
+
+
+def test_the_sample_is_bounded_and_never_held_out(spark, documents):
+    texts = [f"text {i}" for i in range(300)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(300)], "doc_id long, quality int, toxic int")
+    rows = X.training_rows(documents(texts), labels, sample=20).collect()
+    assert sorted(Counter(r["label"] for r in rows).items()) == [(0, 20), (1, 20)]
+    assert all(zlib.crc32(r["text"][5:].encode()) % 3 != 1 for r in rows)
+
+
 def test_held_out_rows_by_their_hash(spark):
     rows = spark.range(50).withColumnRenamed("id", "doc_id").select("doc_id", X.held_out("doc_id").alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows)
