@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from statistics import NormalDist
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,17 +113,3 @@ def check_policy(df: DataFrame, thresholds: list[float], score: str, bad: Column
     flag = F.col(score) > F.col("threshold")
     share = lambda c: 100 * F.avg(c.cast("double"))
     return each.groupBy("threshold").agg(share(flag).alias("flagged"), share(flag & ~F.col("bad")).alias("in_limit_flagged"), share(~flag & F.col("bad")).alias("escaped"), share(flag & F.col("bad")).alias("caught"))
-
-
-Z90 = NormalDist().inv_cdf(0.95)
-
-
-def constructions(df: DataFrame, alpha: float = 0.10) -> DataFrame:
-    """Interval half-widths of a scored table (case, y, pred, sigma, held): in-sample Gaussian (its sd), held-out Gaussian, row and group
-    conformal, and normalised (none by predicted bucket).  One row: all radii."""
-    r = df.withColumn("a", F.abs(F.col("y") - F.col("pred")))
-    gaussian = r.agg((Z90 * F.sqrt(F.avg(F.when(~F.col("held"), F.col("a") * F.col("a"))))).alias("G"), (Z90 * F.stddev_samp(F.when(F.col("held"), F.col("y") - F.col("pred")))).alias("G_cal"))
-    row = conformal_higher(r.where("NOT held"), "a", alpha).withColumnRenamed("radius", "C_row")
-    group = conformal_higher(r.where("held"), "a", alpha).withColumnRenamed("radius", "C_grp")
-    norm = conformal_higher(r.where("held").withColumn("a", F.col("a") / F.greatest(F.col("sigma"), F.lit(1e-6))), "a", alpha).withColumnRenamed("radius", "C_norm")
-    return gaussian.crossJoin(row).crossJoin(group).crossJoin(norm)  # one row each

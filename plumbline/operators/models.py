@@ -1,11 +1,11 @@
-"""Fitted models: recalibrators from MLlib, ridge, forests and volatility."""
+"""Fitted models: recalibrators from MLlib, and ridge."""
 
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import Imputer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression, RandomForestRegressor
+from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,17 +26,6 @@ def isotonic(df: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
     return fitted.transform(df)
 
 
-def forest(train: DataFrame, test: DataFrame, features: list[str], label: str, trees: int = 40, leaf: int = 2, seed: int = 7) -> DataFrame:
-    """`test` with `pred` of a random forest; missing features get the median and a column that says so."""
-    filled = [f"{c}_f" for c in features]
-    marked = lambda df: df.withColumns({f"{c}_m": F.col(c).isNull().cast("double") for c in features}).withColumns({c: F.col(c).cast("double") for c in features})
-    imputer = Imputer(inputCols=features, outputCols=filled, strategy="median").fit(marked(train))
-    columns = VectorAssembler(inputCols=[*filled, *(f"{c}_m" for c in features)], outputCol="x_")
-    ready = lambda df: columns.transform(imputer.transform(marked(df)))
-    model = RandomForestRegressor(featuresCol="x_", labelCol=label, predictionCol="pred", numTrees=trees, minInstancesPerNode=leaf, seed=seed).fit(ready(train))
-    return model.transform(ready(test)).drop("x_", *filled, *(f"{c}_m" for c in features))
-
-
 def ridge(df: DataFrame, group: str, features: list[str], label: str, penalty: float = 1.0) -> DataFrame:
     """`df` with `pred` of a standardised ridge fitted to all other groups.
 

@@ -2,11 +2,17 @@
 
 A draw is a hash of its key, so it is the same on any number of partitions, and adding
 a statistic moves no other one.
+
+Units that a calendar or a design bounds (days, months, clusters) are redrawn as often as there are of them.  Items, of which
+there may be any number, are weighted in place: each is drawn a Poisson(1) number of times, so that draws
+times items are summed up where the items are and never shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.ordered import rank0
@@ -23,6 +29,27 @@ def uniform(*key: str | int | Column) -> Column:
     return (draw(*key) + 0.5) / 4294967296.0
 
 
+#: Distribution function of the Poisson law of mean one, up to where 32 bits tell it from one.
+POISSON = [math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)) for k in range(12)]
+DRAWS = 2_000
+
+
+def poisson(*key: str | int | Column) -> Column:
+    """How often an item is drawn."""
+    u = uniform(*key)
+    times = F.lit(0)
+    for c in POISSON:
+        times = times + F.when(u >= c, 1).otherwise(0)
+    return times
+
+
+def weighted(items: DataFrame, stream: str, draws: int, key: str) -> DataFrame:
+    """b, w and an item's columns, for each draw and item with w over zero.  Sum up by b (and more) at once: the draws are
+    made beside the items, and only the sums move."""
+    numbers = F.broadcast(items.sparkSession.range(draws).withColumnRenamed("id", "b"))  # `draws` rows
+    return items.crossJoin(numbers).withColumn("w", poisson(stream, "b", key)).where("w > 0")
+
+
 def redrawn(units: DataFrame, stream: str, draws: int, order: str) -> DataFrame:
     """b, i and a unit's columns: `draws` samples with replacement of as many units as there are.
 
@@ -36,7 +63,25 @@ def redrawn(units: DataFrame, stream: str, draws: int, order: str) -> DataFrame:
     return wanted.withColumn("u_", (draw(stream, "b", "i") % F.col("n_")).cast("long")).join(numbered, "u_").drop("u_", "n_")
 
 
-def interval(values: DataFrame, value: str, *by: str, tail: float = 0.025) -> DataFrame:
+def interval(values: DataFrame, value: str, *by: str, tail: float = 0.025, digits: int = 6) -> DataFrame:
     """lo and hi over the draws; draws where the statistic is undefined are left out."""
-    q = F.percentile(value, F.array(F.lit(tail), F.lit(1 - tail)))
-    return values.groupBy(*by).agg(q.alias("q_")).select(*by, F.round(F.element_at("q_", 1), 6).alias("lo"), F.round(F.element_at("q_", 2), 6).alias("hi"))
+    q = F.percentile(F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double")), F.array(F.lit(tail), F.lit(1 - tail)))
+    return values.groupBy(*by).agg(q.alias("q_")).select(*by, F.round(F.element_at("q_", 1), digits).alias("lo"), F.round(F.element_at("q_", 2), digits).alias("hi"))
+
+
+def moving_blocks(series: DataFrame, value: str, stream: str, draws: int, *by: str, order: str = "date", block: int = 5) -> DataFrame:
+    """by, b, rate: means of blocks of successive rows from any start, cut to the series' length, by prefix sums.
+
+    A series shorter than three blocks takes blocks of a third of it (two rows at least); under six rows it has none."""
+    w = Window.partitionBy(*by).orderBy(order)
+    sums = series.select(*by, F.row_number().over(w).cast("long").alias("p_"), F.sum(F.col(value).cast("double")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s_"))
+    sizes = sums.groupBy(*by).agg(F.max("p_").alias("n_")).where("n_ >= 6")
+    length = F.greatest(F.lit(2), F.least(F.lit(block), F.floor(F.col("n_") / 3))).cast("long")
+    cells = sizes.withColumn("l_", length).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
+    blocks = cells.withColumn("j_", F.explode(F.sequence(F.lit(0).cast("long"), (F.ceil(F.col("n_") / F.col("l_")) - 1).cast("long"))))
+    start = draw(stream, *by, "b", "j_") % (F.col("n_") - F.col("l_") + 1)
+    ends = blocks.withColumn("from_", start.cast("long")).withColumn("to_", F.col("from_") + F.least(F.col("l_"), F.col("n_") - F.col("j_") * F.col("l_")))
+    before = sums.select(*by, F.col("p_").alias("from_"), F.col("s_").alias("a_"))
+    upto = sums.select(*by, F.col("p_").alias("to_"), F.col("s_").alias("z_"))
+    held = ends.join(upto, [*by, "to_"]).join(before, [*by, "from_"], "left")
+    return held.groupBy(*by, "b").agg((F.sum(F.col("z_") - F.coalesce("a_", F.lit(0.0))) / F.first("n_")).alias("rate"))

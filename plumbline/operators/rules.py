@@ -41,7 +41,7 @@ def model(rate_inside: Column, independence_p: Column, headline: Column, share:
     return grade(fails & headline & share.isNotNull() & (share >= trigger) & (share_low > expected), fails)
 
 
-def test(share_changed: Column, controls_missed: Column, trigger: float = 0.25) -> Column:
+def test(share_changed: Column, controls_missed: Column, trigger: float = 0.50) -> Column:
     return grade((controls_missed > 0) | (share_changed > trigger), share_changed > 0)
 
 

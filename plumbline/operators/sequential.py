@@ -1,7 +1,7 @@
-"""Operators whose state moves from row to row of a key: adaptive bands, PID calibration, shortfall correction, GARCH.
+"""Adaptive bands, whose state moves from row to row of a key.
 
-Each is a plain class or generator over one key's rows in order, run by applyInPandas; keys are
-(slot, level) or (asset): one key's history is a time series and so is bounded by time, not by data.
+A generator goes over one key's rows in order, run by applyInPandas; keys are
+(slot, level, gain): one key's history is a time series and so is bounded by time, not by data.
 """
 
 from __future__ import annotations
@@ -66,191 +66,3 @@ def adaptive_bands(panel: DataFrame, levels: list[float], gammas: list[float] |
         return pd.DataFrame({"slot": pdf["slot"].iloc[at], "date": pdf["date"].iloc[at], "level": level, "gamma": gamma, "err": errors[at], "lo": [r[1] for r in rows], "hi": [r[2] for r in rows], "inside": [not r[3] for r in rows], "a_t": [r[4] for r in rows]})
 
     return cells.groupBy("slot", "level", "gamma").applyInPandas(run, f"slot {kind}, date date, level double, gamma double, err double, lo double, hi double, inside boolean, a_t double")
-
-
-class QuantileController:
-    """Drives P(actual < forecast + offset) to a target by a PID on the quantile of stored residuals.
-
-    Residuals are stored over a running mean of their size; offsets scale with the forecast's own width
-    relative to the usual one.  predict() and update() both note the width they were given, so two enter a step."""
-
-    def __init__(self, alpha: float, keep: int = 500, kp: float = 0.03, ki: float = 0.0005, kd: float = 0.003, most_integral: float = 50.0, span: float = 168.0, floor: float = 1e-3):
-        if not 0 < alpha < 0.5:
-            raise ValueError("alpha must lie between 0 and 0.5")
-        self.alpha, self.gains, self.most = alpha, (kp, ki, kd), most_integral
-        self.step, self.floor = 2 / (span + 1), floor
-        self.size: float | None = None
-        self.residuals: deque[float] = deque(maxlen=keep)
-        self.widths: deque[float] = deque(maxlen=keep)
-        self.level, self.integral, self.error = alpha, 0.0, 0.0
-
-    def _store(self, residual: float) -> None:
-        a = abs(residual)
-        self.size = a if self.size is None else self.step * a + (1 - self.step) * self.size
-        self.residuals.append(residual / max(self.size, self.floor))
-
-    def _offset(self, width: float | None) -> float:
-        base = type7(np.sort(np.array(self.residuals)), self.level) * max(self.size, self.floor)
-        if width is None:
-            return base
-        width = max(width, 1e-6)
-        scale = 1.0 if len(self.widths) <= 10 else max(0.3, min(3.0, width / max(float(np.median(self.widths)), 1e-6)))
-        self.widths.append(width)
-        return base * scale
-
-    def fit(self, forecasts, actuals) -> None:
-        for f, a in zip(forecasts, actuals, strict=True):
-            self._store(a - f)
-
-    def predict(self, forecast: float, width: float | None = None) -> float:
-        return forecast + self._offset(width)
-
-    def update(self, forecast: float, actual: float, width: float | None = None) -> None:
-        bound = forecast + self._offset(width)
-        self._store(actual - forecast)
-        error = float(actual < bound) - self.alpha
-        self.integral = max(-self.most, min(self.most, self.integral + error))
-        kp, ki, kd = self.gains
-        self.level = max(0.001, min(0.499, self.alpha - (kp * error + ki * self.integral + kd * (error - self.error))))
-        self.error = error
-
-
-class ShortfallCorrector:
-    """A factor on how far the shortfall lies beyond the VaR, moved on breach days only."""
-
-    def __init__(self, alpha: float, kp: float = 0.15, ki: float = 0.01, kd: float = 0.05, most_integral: float = 25.0, bounds: tuple[float, float] = (0.5, 3.0)):
-        if not 0 < bounds[0] < bounds[1]:
-            raise ValueError("bounds must be positive and in order")
-        self.alpha, self.gains, self.most, self.bounds = alpha, (kp, ki, kd), most_integral, bounds
-        self.log, self.integral, self.error, self.updates = 0.0, 0.0, 0.0, 0
-
-    @property
-    def scale(self) -> float:
-        return max(self.bounds[0], min(self.bounds[1], math.exp(self.log)))
-
-    def correct(self, var: float, es: float) -> float:
-        """Scales the excess, never the whole, so the shortfall is at least as deep as the VaR."""
-        return var + self.scale * min(es - var, 0.0)
-
-    def update(self, actual: float, stated: float, breached: bool) -> None:
-        if not breached or abs(stated) < 1e-12:
-            return
-        error = actual / abs(stated) + 1
-        self.integral = max(-self.most, min(self.most, self.integral + error))
-        kp, ki, kd = self.gains
-        moved = self.log - (kp * error + ki * self.integral + kd * (error - self.error))
-        self.log = max(math.log(self.bounds[0]), min(math.log(self.bounds[1]), moved))
-        self.error, self.updates = error, self.updates + 1
-
-
-def walk_forward(pnl: np.ndarray, alpha: float, fit: int = 250, warm: int = 250):
-    """(row, var, es, scale, level, breached) of a calibrated historical model, after its warm-up.
-
-    The VaR is fixed before the outcome; the shortfall corrector sees what was stated, before the VaR's controller moves."""
-    controller, corrector = QuantileController(alpha), ShortfallCorrector(alpha)
-    for i in range(fit, len(pnl)):
-        past = np.sort(pnl[i - fit : i])
-        mean, width = float(past.mean()), type7(past, 1 - alpha) - type7(past, alpha)
-        ready = len(controller.residuals) >= min(60, warm)
-        var = controller.predict(mean, width) if ready else type7(past, alpha)
-        below = past[past <= var]
-        base = float(below.mean()) if len(below) else var
-        es = corrector.correct(var, base)
-        actual = float(pnl[i])
-        breached = actual < var
-        if i >= fit + warm:
-            yield i, var, es, corrector.scale, controller.level, breached
-        corrector.update(actual, es, breached)
-        if ready:
-            controller.update(mean, actual, width)
-        else:
-            controller.fit([mean], [actual])
-
-
-def calibrated(pnl: DataFrame, alphas: list[float], key: str = "book", fit: int = 250, warm: int = 250) -> DataFrame:
-    """key, date, alpha, pnl, var, es, es_scale, level, breached; `pnl` has key, date, pnl."""
-    from pyspark.sql import functions as F
-
-    kind = pnl.schema[key].dataType.simpleString()
-    cells = pnl.select(key, "date", F.col("pnl").cast("double").alias("pnl"), F.explode(F.array(*[F.lit(a) for a in alphas])).alias("alpha"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date", kind="stable").reset_index(drop=True)
-        rows = list(walk_forward(pdf["pnl"].to_numpy(float), float(pdf["alpha"].iloc[0]), fit, warm))
-        at = [r[0] for r in rows]
-        return pd.DataFrame({key: pdf[key].iloc[at], "date": pdf["date"].iloc[at], "alpha": pdf["alpha"].iloc[at], "pnl": pdf["pnl"].iloc[at], "var": [r[1] for r in rows], "es": [r[2] for r in rows], "es_scale": [r[3] for r in rows], "level": [r[4] for r in rows], "breached": [bool(r[5]) for r in rows]})
-
-    return cells.groupBy(key, "alpha").applyInPandas(run, f"{key} {kind}, date date, alpha double, pnl double, var double, es double, es_scale double, level double, breached boolean")
-
-
-def garch_variance(r: np.ndarray, omega: float, a: float, b: float) -> np.ndarray:
-    v = np.empty(len(r) + 1)
-    v[0] = max(float(np.mean(r**2)), 1e-12)
-    for i, x in enumerate(r):
-        v[i + 1] = omega + a * x * x + b * v[i]
-    return v
-
-
-def garch_loss(r: np.ndarray, omega: float, a: float, b: float, nu: float | None = None) -> float:
-    """Negative log-likelihood; nu: degrees of freedom of unit-variance t innovations, none for normal ones."""
-    v = garch_variance(r, omega, a, b)[:-1]
-    if nu is None:
-        return float(0.5 * np.sum(np.log(2 * np.pi * v) + r * r / v))
-    c = math.lgamma((nu + 1) / 2) - math.lgamma(nu / 2) - 0.5 * math.log(math.pi * (nu - 2))
-    return float(-np.sum(c - 0.5 * np.log(v) - (nu + 1) / 2 * np.log1p(r * r / (v * (nu - 2)))))
-
-
-def fit_garch(r: np.ndarray, student: bool = False, rounds: int = 40) -> tuple[float, float, float, float | None]:
-    """(omega, a, b, nu) by shrinking coordinate search over persistence, its split and nu; omega follows from the sample's variance."""
-    r = r - r.mean()
-    var = max(float(np.var(r)), 1e-12)
-
-    def loss(x: np.ndarray) -> float:
-        keep, share = 1 / (1 + math.exp(-x[0])), 1 / (1 + math.exp(-x[1]))
-        nu = 2.1 + math.exp(min(6.0, x[2])) if student else None
-        return garch_loss(r, var * (1 - keep), keep * share, keep * (1 - share), nu)
-
-    x, step = np.array([3.0, -2.5, 1.8]), np.array([1.0, 1.0, 1.0])
-    best = loss(x)
-    for _ in range(rounds):
-        for i in range(3 if student else 2):
-            for sign in (1, -1):
-                y = x.copy()
-                y[i] += sign * step[i]
-                if (found := loss(y)) < best - 1e-10:
-                    x, best = y, found
-                    break
-            else:
-                step[i] /= 2
-        if step.max() < 1e-3:
-            break
-    keep, share = 1 / (1 + math.exp(-x[0])), 1 / (1 + math.exp(-x[1]))
-    return var * (1 - keep), keep * share, keep * (1 - share), 2.1 + math.exp(min(6.0, x[2])) if student else None
-
-
-def garch_path(returns: DataFrame, window: int = 500, refit: int = 20, student: bool = True) -> DataFrame:
-    """asset, date, sigma, nu: one-day-ahead volatility, refitted every `refit` steps with the recursion in between."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date", kind="stable").reset_index(drop=True)
-        r = pdf["r"].to_numpy(float)
-        out, params = [], None
-        for k, i in enumerate(range(window, len(r))):
-            past = r[i - window : i]
-            if k % refit == 0:
-                params = fit_garch(past, student)
-            v = garch_variance(past - past.mean(), *params[:3])[-1]
-            out.append((i, math.sqrt(v), params[3] or float("nan")))
-        at = [o[0] for o in out]
-        return pd.DataFrame({"asset": pdf["asset"].iloc[at], "date": pdf["date"].iloc[at], "sigma": [o[1] for o in out], "nu": [o[2] for o in out]})
-
-    return returns.select("asset", "date", "r").groupBy("asset").applyInPandas(run, "asset string, date date, sigma double, nu double")
-
-
-def copula_draws(corr: np.ndarray, sigma: np.ndarray, weights: np.ndarray, nu: float | None, draws: int = 5_000, seed: int = 42) -> np.ndarray:
-    """Portfolio outcomes under a Gaussian (nu None) or t copula with the same marginals, scaled to the volatilities."""
-    rng = np.random.default_rng(seed)
-    z = rng.standard_normal((draws, len(sigma))) @ np.linalg.cholesky(corr).T
-    if nu is not None:
-        z = z * np.sqrt((nu - 2) / rng.chisquare(nu, (draws, 1)))
-    return (z * sigma) @ weights

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.plans import band_queries, group_queries, panel_queries, prob_queries, tail_queries  # noqa: F401  they register their queries
+from plumbline.plans import band_queries, group_queries, model_queries, panel_queries, prob_queries, rule_queries, source_queries, tail_queries, walk_queries  # noqa: F401  they register their queries
 from plumbline.plans.registry import ORACLES, QUERIES, Query
 
 

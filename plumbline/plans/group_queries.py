@@ -11,8 +11,7 @@ from plumbline.operators import groups as G
 from plumbline.operators import resample as R
 from plumbline.operators import rules, sequential
 from plumbline.operators import tail as T
-from plumbline.plans import tail_queries as TQ
-from plumbline.plans.band_queries import SCORED, priced
+from plumbline.plans.band_queries import SCORED
 from plumbline.plans.registry import query
 from plumbline.plans.tail_queries import _dk
 from plumbline.sources import tables as S
@@ -59,13 +58,6 @@ def q12(spark: SparkSession, d: str) -> DataFrame:
     return _line(spark, d).groupBy("g").agg(F.round(F.avg(F.abs(F.col("y") - F.col("pred"))), 4).alias("mae"), F.count(F.lit(1)).alias("n"))
 
 
-@query("m10_interval_constructions")
-def m10(spark: SparkSession, d: str) -> DataFrame:
-    """Half-widths of five constructions on held-out predictions; every third part calibrates."""
-    scored = _line(spark, d).withColumns({"held": F.col("id") % 3 == 0, "sigma": F.col("sd")})
-    return G.constructions(scored)
-
-
 @query("m13_ridge_by_group")
 def m13(spark: SparkSession, d: str) -> DataFrame:
     from plumbline.operators.models import ridge
@@ -75,30 +67,6 @@ def m13(spark: SparkSession, d: str) -> DataFrame:
     return ridge(p, "p_brand", ["size", "lot"], "price").groupBy("p_brand").agg(F.avg(F.abs(F.col("price") - F.col("pred"))).alias("mae"))
 
 
-@query("m11_m12_forest_ablation")
-def m11(spark: SparkSession, d: str) -> DataFrame:
-    """Mean absolute error of forests on two sets of features, some of them missing."""
-    from plumbline.operators.models import forest
-
-    p = S.table(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 11 > 0, F.col("p_size")).alias("size"), (F.col("p_partkey") % 1000).alias("lot"), F.col("p_retailprice").alias("price"))
-    train, test = p.where("p_partkey % 4 <> 0"), p.where("p_partkey % 4 = 0")
-    out = None
-    for name, columns in (("meta", ["size"]), ("all", ["size", "lot"])):
-        one = forest(train, test, columns, "price", trees=15).agg(F.avg(F.abs(F.col("price") - F.col("pred"))).alias("mae")).select(F.lit(name).alias("features"), "mae")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-@query("m14_three_half_widths", f"""WITH {_LINE}, s AS (SELECT g, abs(y - pred) AS a FROM pred), f AS (SELECT h.g AS fold, s.a, row_number() OVER (PARTITION BY h.g ORDER BY s.a) AS r, count(*) OVER (PARTITION BY h.g) AS n FROM (SELECT DISTINCT g FROM s) h JOIN s ON s.g <> h.g)
-SELECT fold, round(max(a) FILTER (r = ceil(round((n + 1) * 0.9, 9))), 4) AS radius FROM f GROUP BY fold""")
-def m14(spark: SparkSession, d: str) -> DataFrame:
-    """The radius that each held-out group gets from the others' residuals."""
-    s = _line(spark, d).select("g", F.abs(F.col("y") - F.col("pred")).alias("a"))
-    folds = s.select(F.col("g").alias("fold")).distinct()
-    others = folds.join(s, F.col("fold") != F.col("g")).select("fold", "a")
-    return G.conformal_rank(others, "a", 0.9, "fold").select("fold", _r("radius", 4))
-
-
 _TRIGGER = lambda t: f"min(cut_index) FILTER (vb >= {t})"
 _POLICY = " UNION ALL ".join(f"SELECT '{n}' AS rule, {a} AS chg, first_over, last FROM per" for n, a in (("point", "point_at"), ("upper", "upper_at"), ("fixed", "CASE WHEN last >= 6 THEN 6 END")))
 
@@ -132,6 +100,16 @@ def a22(spark: SparkSession, d: str) -> DataFrame:
     return m.groupBy("g").agg(F.round(F.avg("m"), 4).alias("mean"), F.round(F.avg("d"), 4).alias("median"), F.round(F.percentile("m", F.lit(0.1)), 4).alias("p10"))
 
 
+@query("b3_cluster_bootstrap", f"""WITH c AS (SELECT c_nationkey AS g, sum(c_acctbal) AS s, count(*) AS n, row_number() OVER (ORDER BY c_nationkey) - 1 AS u FROM customer GROUP BY 1), t AS (SELECT count(*) AS n FROM c),
+d AS (SELECT b, i, {_dk("'clusters'", 'b', 'i')} % (SELECT n FROM t) AS u FROM (SELECT unnest(range(0, {R.DRAWS})) AS b), (SELECT unnest(range(0, (SELECT n FROM t))) AS i)), r AS (SELECT b, sum(s) / sum(n) AS m FROM d JOIN c USING (u) GROUP BY b)
+SELECT round(quantile_cont(m, 0.025), 4) AS lo, round(quantile_cont(m, 0.975), 4) AS hi FROM r""")
+def b3(spark: SparkSession, d: str) -> DataFrame:
+    """2,000 draws of whole clusters, from their sums alone."""
+    c = S.table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("g")).agg(F.sum("c_acctbal").alias("s"), F.count(F.lit(1)).alias("n"))
+    means = R.redrawn(c, "clusters", R.DRAWS, "g").groupBy("b").agg((F.sum("s") / F.sum("n")).alias("m"))
+    return R.interval(means, "m", digits=4)
+
+
 @query("b6_seeded_calibration_groups", f"SELECT seed, c_nationkey FROM (SELECT seed, c_nationkey, row_number() OVER (PARTITION BY seed ORDER BY {_dk("'folds'", 'seed', 'c_nationkey')}, c_nationkey) AS k FROM (SELECT DISTINCT c_nationkey FROM customer), (SELECT unnest(range(0, 25)) AS seed)) WHERE k <= 4")
 def b6(spark: SparkSession, d: str) -> DataFrame:
     cells = S.table(spark, d, "customer").select("c_nationkey").distinct().crossJoin(spark.range(25).withColumnRenamed("id", "seed"))
@@ -139,15 +117,6 @@ def b6(spark: SparkSession, d: str) -> DataFrame:
     return cells.withColumn("k", F.row_number().over(w)).where("k <= 4").select("seed", "c_nationkey")
 
 
-@query("b3_cluster_bootstrap", f"""WITH c AS (SELECT c_nationkey AS g, sum(c_acctbal) AS s, count(*) AS n, row_number() OVER (ORDER BY c_nationkey) - 1 AS u FROM customer GROUP BY 1), t AS (SELECT count(*) AS n FROM c),
-d AS (SELECT b, i, {_dk("'clusters'", 'b', 'i')} % (SELECT n FROM t) AS u FROM (SELECT unnest(range(0, 100)) AS b), (SELECT unnest(range(0, (SELECT n FROM t))) AS i)), r AS (SELECT b, sum(s) / sum(n) AS m FROM d JOIN c USING (u) GROUP BY b)
-SELECT round(quantile_cont(m, 0.025), 4) AS lo, round(quantile_cont(m, 0.975), 4) AS hi FROM r""")
-def b3(spark: SparkSession, d: str) -> DataFrame:
-    c = S.table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("g")).agg(F.sum("c_acctbal").alias("s"), F.count(F.lit(1)).alias("n"))
-    means = R.redrawn(c, "clusters", 100, "g").groupBy("b").agg((F.sum("s") / F.sum("n")).alias("m"))
-    return R.interval(means, "m").select(_r("lo", 4), _r("hi", 4))
-
-
 _TOL = """lim AS (SELECT p_brand AS g, avg(p_retailprice) - 1.5 * stddev_samp(p_retailprice) AS lo, avg(p_retailprice) + 2.5 * stddev_samp(p_retailprice) AS hi FROM part GROUP BY 1),
 cap AS (SELECT p_brand AS g, count(*) AS n, avg(p_retailprice) AS m, stddev_samp(p_retailprice) AS s, count(*) FILTER (p_retailprice < round(lo, 6) OR p_retailprice > round(hi, 6)) AS o, any_value(round(lo, 6)) AS lo, any_value(round(hi, 6)) AS hi FROM part JOIN lim ON g = p_brand GROUP BY 1)"""
 
@@ -163,7 +132,7 @@ def a30(spark: SparkSession, d: str) -> DataFrame:
     return _capability(spark, d).select("g", "n", _r("mean", 8), _r("sd", 4), "outside", _r("share"), _r("cpk"))
 
 
-@query("r2_tolerance_severity", f"""WITH {_TOL}, w AS (SELECT *, greatest(0, ((o / n + 3.8416 / (2 * n)) - 1.96 * sqrt((o / n) * (1 - o / n) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n)) AS low, least(hi - m, m - lo) / s AS near FROM cap)
+@query("r2_tolerance_severity", f"""WITH {_TOL}, w AS (SELECT *, greatest(0, ((o / n + {T.Z95 ** 2!r} / (2 * n)) - {T.Z95!r} * sqrt((o / n) * (1 - o / n) / n + {T.Z95 ** 2!r} / (4 * n * n))) / (1 + {T.Z95 ** 2!r} / n)) AS low, least(hi - m, m - lo) / s AS near FROM cap)
 SELECT g, CASE WHEN low > 0.01 THEN 'Material' WHEN near / 3 < 1.33 THEN 'Significant' ELSE 'Observation' END AS severity, near > 6 AS untested FROM w""")
 def r2(spark: SparkSession, d: str) -> DataFrame:
     c = _capability(spark, d)
@@ -230,111 +199,47 @@ win AS MATERIALIZED (SELECT slot, date, err, k, list_sort(list_filter(list(err)
 sc AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY slot ORDER BY k) AS j FROM win WHERE len(w) >= 60 AND err IS NOT NULL)"""
 _Q7 = lambda q: f"(w[CAST(floor((len(w) - 1) * ({q})) AS BIGINT) + 1] + ((len(w) - 1) * ({q}) - floor((len(w) - 1) * ({q}))) * (w[least(CAST(floor((len(w) - 1) * ({q})) AS BIGINT) + 2, len(w))] - w[CAST(floor((len(w) - 1) * ({q})) AS BIGINT) + 1]))"
 _TAIL = "least(greatest(a, 0.001), 0.45)"
-_ACI_STEP = f"""SELECT slot, j, date, err, lo, hi, err BETWEEN lo AND hi AS inside, a + 0.02 * (0.1 - CASE WHEN err BETWEEN lo AND hi THEN 0 ELSE 1 END) AS a FROM (
-  SELECT s.slot, s.j, s.date, s.err, a, round({_Q7(f"{_TAIL} / 2")}, 9) AS lo, round({_Q7(f"1 - {_TAIL} / 2")}, 9) AS hi FROM sc s JOIN %s)"""
+_ACI_STEP = f"""SELECT slot, level, gain, j, date, err, lo, hi, err BETWEEN lo AND hi AS inside, a + gain * (round(1 - level, 12) - CASE WHEN err BETWEEN lo AND hi THEN 0 ELSE 1 END) AS a FROM (
+  SELECT s.slot, level, gain, s.j, s.date, s.err, a, round({_Q7(f"{_TAIL} / 2")}, 9) AS lo, round({_Q7(f"1 - {_TAIL} / 2")}, 9) AS hi FROM sc s JOIN %s)"""
+
+
+def _walk(levels: list[float], gains: list[float]) -> str:
+    """CTE `walk`: the adaptive bands of every slot, level and gain, a row of each in a step."""
+    cells = " UNION ALL ".join(f"SELECT CAST({v} AS DOUBLE) AS level, CAST({g} AS DOUBLE) AS gain, round(1 - CAST({v} AS DOUBLE), 12) AS a" for v in levels for g in gains)
+    first, later = f"({cells}) ON s.j = 1", "walk p ON p.slot = s.slot AND s.j = p.j + 1"
+    return f"WITH RECURSIVE {_ACI}, walk AS ({_ACI_STEP % first} UNION ALL {_ACI_STEP % later})"
 
 
-@query("q1_adaptive_bands", f"""WITH RECURSIVE {_ACI}, walk AS (
-  {_ACI_STEP % "(SELECT CAST(0.1 AS DOUBLE) AS a) ON s.j = 1"}
-  UNION ALL {_ACI_STEP % "walk p ON p.slot = s.slot AND s.j = p.j + 1"}
-) SELECT slot, date, round(lo, 6) AS lo, round(hi, 6) AS hi, inside, round(a, 6) AS a_t FROM walk""")
+@query("q1_adaptive_bands", f"{_walk([0.9], [0.02])} SELECT slot, date, round(lo, 6) AS lo, round(hi, 6) AS hi, inside, round(a, 6) AS a_t FROM walk")
 def q1(spark: SparkSession, d: str) -> DataFrame:
     shipped(spark)
     return sequential.adaptive_bands(S.ship_panel(spark, d), [0.9]).select("slot", "date", _r("lo"), _r("hi"), "inside", _r("a_t"))
 
 
-@query("q1_adaptive_coverage")
+@query("q1_adaptive_coverage", f"{_walk([0.8, 0.9, 0.95], [0.02])} SELECT level, round(avg(CASE WHEN inside THEN 1.0 ELSE 0 END), 6) AS coverage, count(*) AS n FROM walk GROUP BY level")
 def q1_coverage(spark: SparkSession, d: str) -> DataFrame:
     """The whole history at every level."""
     shipped(spark)
-    return sequential.adaptive_bands(S.ship_panel(spark, d), [0.8, 0.9, 0.95]).groupBy("level").agg(F.avg(F.col("inside").cast("double")).alias("coverage"), F.count(F.lit(1)).alias("n"))
+    return sequential.adaptive_bands(S.ship_panel(spark, d), [0.8, 0.9, 0.95]).groupBy("level").agg(F.round(F.avg(F.col("inside").cast("double")), 6).alias("coverage"), F.count(F.lit(1)).alias("n"))
 
 
-@query("q2_gain_zero_is_rolling", f"WITH {SCORED} SELECT date, slot, round(lo, 6) AS lo, round(hi, 6) AS hi, inside FROM scored WHERE level = 0.9 AND method = 'conformal'")
-def q2(spark: SparkSession, d: str) -> DataFrame:
-    """Without a gain the adaptive band is the rolling one."""
-    shipped(spark)
-    return sequential.adaptive_bands(S.ship_panel(spark, d), [0.9], [0.0]).select("date", "slot", _r("lo"), _r("hi"), "inside")
+_GAINS = [0.0, 0.01, 0.02, 0.05, 0.10]
 
 
-@query("q13_gain_sweep")
+@query("q13_gain_sweep", f"""{_walk([0.9], _GAINS)}, by_ AS (SELECT gain, slot, avg(CASE WHEN inside THEN 1.0 ELSE 0 END) AS c, avg(hi - lo) AS w FROM walk GROUP BY gain, slot)
+SELECT gain AS gamma, round(avg(c), 6) AS coverage, round(min(c), 6) AS worst, round(max(c) - min(c), 6) AS spread, round(avg(w), 4) AS width FROM by_ GROUP BY gain""")
 def q13(spark: SparkSession, d: str) -> DataFrame:
     shipped(spark)
-    a = sequential.adaptive_bands(S.ship_panel(spark, d), [0.9], [0.0, 0.01, 0.02, 0.05, 0.10])
+    a = sequential.adaptive_bands(S.ship_panel(spark, d), [0.9], _GAINS)
     by = a.groupBy("gamma", "slot").agg(F.avg(F.col("inside").cast("double")).alias("c"), F.avg(F.col("hi") - F.col("lo")).alias("w"))
-    return by.groupBy("gamma").agg(F.avg("c").alias("coverage"), F.min("c").alias("worst"), (F.max("c") - F.min("c")).alias("spread"), F.avg("w").alias("width"))
-
-
-@query("q8_q9_q10_calibrated_var_es")
-def q8(spark: SparkSession, d: str) -> DataFrame:
-    shipped(spark)
-    return sequential.calibrated(TQ.pnl(spark, d).withColumn("book", F.lit("all")), TQ.ALPHAS)
-
-
-@query("q6_garch_volatility")
-def q6(spark: SparkSession, d: str) -> DataFrame:
-    shipped(spark)
-    return sequential.garch_path(T.log_returns(S.asset_prices(spark, d)))
+    return by.groupBy("gamma").agg(F.round(F.avg("c"), 6).alias("coverage"), F.round(F.min("c"), 6).alias("worst"), F.round(F.max("c") - F.min("c"), 6).alias("spread"), F.round(F.avg("w"), 4).alias("width"))
 
 
-@query("q7_copula_monte_carlo")
-def q7(spark: SparkSession, d: str) -> DataFrame:
-    """VaR and ES of the last day's portfolio under both copulas; a task a copula."""
-    shipped(spark)
-    r = T.log_returns(S.asset_prices(spark, d))
-    sd = r.groupBy("asset").agg(F.stddev_samp("r").alias("s"))
-    b = r.select("date", F.col("asset").alias("b"), F.col("r").alias("rb"))
-    cells = r.select("date", F.col("asset").alias("a"), F.col("r").alias("ra")).join(b, "date").groupBy("a", "b").agg(F.corr("ra", "rb").alias("c"))
-    cells = cells.join(sd.select(F.col("asset").alias("a"), F.col("s").alias("sa")), "a")
-    kinds = spark.createDataFrame([("gaussian", None), ("student", 5.0)], "copula string, nu double")
-
-    def run(pdf):
-        import numpy as np
-        import pandas as pd
-
-        wide = pdf.pivot(index="a", columns="b", values="c").sort_index().sort_index(axis=1)
-        sigma = pdf.drop_duplicates("a").sort_values("a")["sa"].to_numpy()
-        nu = pdf["nu"].iloc[0]
-        x = np.sort(sequential.copula_draws(wide.to_numpy(), sigma, np.array([0.5, 0.3, 0.2]), None if math.isnan(nu) else float(nu)))
-        var = sequential.type7(x, 0.01)
-        return pd.DataFrame({"copula": [pdf["copula"].iloc[0]], "var": [var], "es": [float(x[x <= var].mean())]})
-
-    return cells.crossJoin(F.broadcast(kinds)).groupBy("copula").applyInPandas(run, "copula string, var double, es double")  # two kinds
-
-
-@query("t9_t10_t11_null_zones")
-def t9(spark: SparkSession, d: str) -> DataFrame:
-    """Z1 under Gaussian, t and empirical outcomes: p-value, thresholds and zone; a task a cell."""
+@query("q2_gain_zero_is_rolling", f"WITH {SCORED} SELECT date, slot, round(lo, 6) AS lo, round(hi, 6) AS hi, inside FROM scored WHERE level = 0.9 AND method = 'conformal'")
+def q2(spark: SparkSession, d: str) -> DataFrame:
+    """Without a gain the adaptive band is the rolling one."""
     shipped(spark)
-    x = TQ.details(spark, d).select("date", "alpha", "pnl", "var", "es")
-    nulls = spark.createDataFrame([("gaussian",), ("df8",), ("df5",), ("empirical",)], "null string")
-
-    def run(pdf):
-        import hashlib
-
-        import numpy as np
-        import pandas as pd
-
-        null, alpha = pdf["null"].iloc[0], pdf["alpha"].iloc[0]
-        rng = np.random.default_rng(int(hashlib.sha256(f"{null}|{alpha}".encode()).hexdigest()[:8], 16))
-        pnl, var, es = (pdf[c].to_numpy() for c in ("pnl", "var", "es"))
-        z = lambda x: (x[x < var] / np.maximum(np.abs(es[x < var]), 1e-12)).mean() + 1 if (x < var).any() else np.nan
-        sims = []
-        for _ in range(200):
-            if null == "gaussian":
-                e = rng.standard_normal(len(pnl))
-            elif null == "empirical":
-                e = rng.choice((pnl - pnl.mean()) / pnl.std(), len(pnl))
-            else:
-                nu = float(null[2:])
-                e = rng.standard_t(nu, len(pnl)) * math.sqrt((nu - 2) / nu)
-            sims.append(z(pnl.mean() + pnl.std() * e))
-        sims, seen = np.array(sims), z(pnl)
-        green, yellow = np.nanpercentile(sims, [5, 0.1])
-        name = "green" if seen >= green else "yellow" if seen >= yellow else "red"
-        return pd.DataFrame({"null": [null], "alpha": [alpha], "z1": [seen], "p": [float(np.nanmean(sims <= seen))], "green": [green], "yellow": [yellow], "zone": [name]})
-
-    return x.crossJoin(F.broadcast(nulls)).groupBy("null", "alpha").applyInPandas(run, "null string, alpha double, z1 double, p double, green double, yellow double, zone string")  # four nulls
+    return sequential.adaptive_bands(S.ship_panel(spark, d), [0.9], [0.0]).select("date", "slot", _r("lo"), _r("hi"), "inside")
 
 
 @query("t15_t16_distribution_functions")
@@ -370,101 +275,9 @@ def t28(spark: SparkSession, d: str) -> DataFrame:
     return cells.groupBy("alpha", "nu").applyInPandas(run, "alpha double, nu double, z1_p5 double, z2_p5 double")
 
 
-@query("m15_m18_m20_clustered_simulation")
-def m18(spark: SparkSession, d: str) -> DataFrame:
-    """Coverage of conformal radii calibrated on rows, on whole groups, and on groups into which half the test's rows leak, when rows of a cluster share an effect."""
-    rows = spark.range(24).withColumnRenamed("id", "g").crossJoin(spark.range(10).withColumnRenamed("id", "t")).crossJoin(spark.createDataFrame([(r,) for r in (0.0, 0.4, 0.8)], "rho double")).crossJoin(spark.range(20).withColumnRenamed("id", "rep"))
-    normal = lambda *k: F.sqrt(-2 * F.log(R.uniform(k[0], *k[1:]))) * F.cos(2 * math.pi * R.uniform(k[0] + "b", *k[1:]))
-    a = F.sqrt("rho") * normal("effect", "rep", "g") + F.sqrt(1 - F.col("rho")) * normal("noise", "rep", "g", "t")
-    x = rows.select("rho", "rep", "g", "t", F.abs(a).alias("a"))
-    out = None
-    half = F.col("t") % 2 == 0
-    for name, cal in (("row", half), ("group", F.col("g") % 2 == 0), ("leaky", (F.col("g") % 2 == 0) | half)):
-        radius = G.conformal_higher(x.where(cal), "a", 0.1, "rho", "rep")
-        one = x.where(~cal).join(radius, ["rho", "rep"]).groupBy("rho").agg(F.avg((F.col("a") <= F.col("radius")).cast("double")).alias("coverage")).select(F.lit(name).alias("split"), "rho", "coverage")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-@query("m19_self_review_checks", f"""WITH {S.WEAR}, g AS (SELECT "case", max(cut_index) AS n FROM wear GROUP BY 1) SELECT count(*) AS cases, count(*) FILTER (n < 5) AS short, count(*) FILTER (n < 12) AS inert_12, round(avg(n), 6) AS mean_cuts FROM g""")
+@query("m19_fixed_change_reach", f"""WITH {S.WEAR}, g AS (SELECT "case", max(cut_index) AS n FROM wear GROUP BY 1) SELECT count(*) AS cases, count(*) FILTER (n < 5) AS short, count(*) FILTER (n < 12) AS inert_12, round(avg(n), 6) AS mean_cuts FROM g""")
 def m19(spark: SparkSession, d: str) -> DataFrame:
     g = S.wear_tracks(spark, d).groupBy("case").agg(F.max("cut_index").alias("n"))
     return g.agg(F.count(F.lit(1)).alias("cases"), F.count_if(F.col("n") < 5).alias("short"), F.count_if(F.col("n") < 12).alias("inert_12"), F.round(F.avg("n"), 6).alias("mean_cuts"))
 
 
-_BAND = f"""{SCORED}, cov AS (SELECT level, method, avg(CAST(inside AS DOUBLE)) AS c, count(*) AS n, avg(CASE WHEN inside THEN 0.0 ELSE 1.0 END) FILTER (expensive) / nullif(avg(CASE WHEN inside THEN 0.0 ELSE 1.0 END) FILTER (NOT expensive), 0) AS conc FROM priced GROUP BY level, method),
-graded AS (SELECT *, CASE WHEN abs(c - level) < 0.01 THEN 'Observation' WHEN conc >= 1.25 AND conc - 0.1 > 1 THEN 'Material' ELSE 'Significant' END AS severity FROM cov)"""
-
-
-def _graded(spark: SparkSession, d: str) -> DataFrame:
-    from plumbline.operators import bands as B
-
-    p = priced(spark, d)
-    g = B.concentration(p, "level", "method").join(B.coverage(p), ["level", "method"])
-    return g.withColumn("severity", rules.band(F.abs(F.col("coverage") - F.col("level")) < 0.01, F.col("concentration"), F.col("concentration") - 0.1))
-
-
-@query("r1_band_severity", f"WITH {_BAND} SELECT level, method, round(c, 6) AS coverage, severity FROM graded")
-def r1(spark: SparkSession, d: str) -> DataFrame:
-    """A tolerance of a point in place of the bootstrap interval, which b1 gives."""
-    return _graded(spark, d).select("level", "method", _r("coverage"), "severity")
-
-
-@query("r9_findings_register", f"""WITH {_BAND}, k AS (SELECT *, CASE severity WHEN 'Material' THEN 2 WHEN 'Significant' THEN 1 ELSE 0 END AS rk FROM graded),
-w AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY rk DESC, level = 0.9 DESC, level) AS k FROM k)
-SELECT printf('F-%02d', row_number() OVER (ORDER BY rk DESC, method)) AS id, method, level, severity FROM w WHERE k = 1""")
-def r9(spark: SparkSession, d: str) -> DataFrame:
-    return rules.register(_graded(spark, d), "method", "level", 0.9).select("id", "method", "level", "severity")
-
-
-@query("r3_r4_range_and_structure_severity", """SELECT p_size, CASE WHEN 0.9 BETWEEN lo AND hi THEN 'Observation' WHEN rh < 0.9 THEN 'Material' ELSE 'Significant' END AS range_severity, CASE WHEN p_size % 7 = 0 THEN 'Material' WHEN p_size % 3 = 0 THEN 'Significant' ELSE 'Observation' END AS structure_severity
-FROM (SELECT DISTINCT p_size, p_size / 60.0 AS lo, p_size / 60.0 + 0.1 AS hi, p_size / 50.0 AS rh FROM part)""")
-def r3(spark: SparkSession, d: str) -> DataFrame:
-    s = F.col("p_size")
-    p = S.table(spark, d, "part").select("p_size").distinct()
-    return p.select("p_size", rules.stated_range(F.lit(0.9), s / 60.0, s / 60.0 + 0.1, s / 50.0).alias("range_severity"), rules.structure(s % 7 == 0, s % 3 == 0).alias("structure_severity"))
-
-
-@query("r5_model_severity", f"""WITH {TQ._CHAIN}, s AS (SELECT alpha, avg(CASE WHEN c >= 5 THEN 1.0 ELSE 0 END) AS share FROM (SELECT alpha, sum(CAST(breached AS INTEGER)) OVER {TQ._ROLL} AS c, count(*) OVER {TQ._ROLL} AS n FROM details) WHERE n = 250 GROUP BY alpha),
-v AS (SELECT g.alpha, share, {TQ._KUPIEC} < 3.841458820694124 AS inside, {TQ._IND} > 3.841458820694124 AS clustered FROM g JOIN s USING (alpha))
-SELECT alpha, CASE WHEN NOT (NOT inside OR clustered) THEN 'Observation' WHEN alpha = 0.01 AND share >= 0.25 AND share - 0.05 > {T.p_outside_green()!r} THEN 'Material' ELSE 'Significant' END AS severity FROM v""")
-def r5(spark: SparkSession, d: str) -> DataFrame:
-    """chi-square tests in place of the bootstrap interval; five points under the share as its lower bound."""
-    x = TQ.details(spark, d)
-    c = F.col
-    g = T.breach_stats(x, "alpha").withColumns({"lr": T.kupiec(c("n"), c("breaches"), c("alpha")), "ind": T.independence(c("n00"), c("n01"), c("n10"), c("n11"))})
-    share = x.withColumn("c", T.rolling_count(["alpha"], complete=True)).where("c IS NOT NULL").groupBy("alpha").agg(F.avg((c("c") >= 5).cast("double")).alias("share"))
-    p = F.when(c("ind") > 3.841458820694124, 0.0).otherwise(1.0)
-    v = g.join(share, "alpha")
-    return v.select("alpha", rules.model(c("lr") < 3.841458820694124, p, c("alpha") == 0.01, c("share"), c("share") - 0.05, T.p_outside_green()).alias("severity"))
-
-
-@query("r6_r7_r8_test_integrity_process", """SELECT k, CASE WHEN k % 5 = 0 OR k / 40.0 > 0.25 THEN 'Material' WHEN k / 40.0 > 0 THEN 'Significant' ELSE 'Observation' END AS test_severity, CASE WHEN k / 1000.0 > 0.01 THEN 'Material' ELSE 'Observation' END AS integrity_severity,
-  CASE WHEN k % 2 = 1 THEN 'Observation' WHEN abs(k - 10) > abs(k - 16) AND NOT k % 3 = 0 THEN 'Material' ELSE 'Significant' END AS process_severity FROM (SELECT unnest(range(0, 20)) AS k)""")
-def r6(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("k")
-    x = spark.range(20).withColumnRenamed("id", "k")
-    return x.select(
-        "k", rules.test(k / 40.0, F.when(k % 5 == 0, 1).otherwise(0)).alias("test_severity"), rules.pair_integrity(k / 1000.0).alias("integrity_severity"),
-        rules.process(k % 2 == 0, k - 16, k - 10, k % 3 == 0).alias("process_severity"))
-
-
-@query("r13_verdict_survival", f"WITH {TQ.DETAILS}, a AS (SELECT alpha, count(*) FILTER (breached) AS x FROM details WHERE year(date) < 1999 GROUP BY alpha), b AS (SELECT alpha, count(*) FILTER (breached) AS y FROM details WHERE year(date) >= 1999 GROUP BY alpha) SELECT alpha, x, y, CASE WHEN (x < 5) = (y < 5) THEN 'survives' ELSE 'changes' END AS verdict FROM a JOIN b USING (alpha)")
-def r13(spark: SparkSession, d: str) -> DataFrame:
-    x = TQ.details(spark, d)
-    hits = F.count(F.when(F.col("breached"), 1))
-    a, b = x.where("year(date) < 1999").groupBy("alpha").agg(hits.alias("x")), x.where("year(date) >= 1999").groupBy("alpha").agg(hits.alias("y"))
-    same = F.when((F.col("x") < 5) == (F.col("y") < 5), "survives").otherwise("changes")
-    return a.join(b, "alpha").select("alpha", "x", "y", same.alias("verdict"))
-
-
-@query("r11_integrity_battery", f"""WITH {S.SHIP}, both_ AS (SELECT * FROM panel WHERE act IS NOT NULL AND fc IS NOT NULL), g AS (SELECT corr(act, fc) AS c, regr_slope(act, fc) AS s, (avg(fc) - avg(act)) / avg(act) AS b FROM both_), f AS (SELECT avg(CASE WHEN act IS NULL THEN 0.0 ELSE 1 END) AS full_ FROM panel)
-SELECT 'correlation' AS test, c >= 0.9 AS passes FROM g UNION ALL SELECT 'slope', abs(s - 1) <= 0.15 FROM g UNION ALL SELECT 'bias', abs(b) <= 0.05 FROM g UNION ALL SELECT 'completeness', full_ >= 0.9 FROM f UNION ALL SELECT 'conclusion', (SELECT c >= 0.9 AND abs(s - 1) <= 0.15 AND abs(b) <= 0.05 FROM g) AND (SELECT full_ >= 0.9 FROM f)""")
-def r11(spark: SparkSession, d: str) -> DataFrame:
-    from plumbline.operators import bands as B
-
-    p = S.ship_panel(spark, d)
-    filled = F.broadcast(p.agg((F.avg(F.col("act").isNotNull().cast("double")) >= 0.9).alias("completeness")))  # one row
-    g = B.integrity(p).crossJoin(filled).select((F.col("corr") >= 0.9).alias("correlation"), (F.abs(F.col("slope") - 1) <= 0.15).alias("slope"), (F.abs("bias") <= 0.05).alias("bias"), "completeness")
-    g = g.withColumn("conclusion", F.col("correlation") & F.col("slope") & F.col("bias") & F.col("completeness"))
-    return g.unpivot([], ["correlation", "slope", "bias", "completeness", "conclusion"], "test", "passes")

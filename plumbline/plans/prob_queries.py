@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators import probs as C
@@ -163,27 +163,42 @@ def m8(spark: SparkSession, d: str) -> DataFrame:
     return C.decision_costs(S.binary_probs(spark, d), _THRESHOLDS).select("threshold", _r("cost"), "acts")
 
 
-@query("m7_learning_curve")
+_CURVE, _SIZES, _SEEDS = [math.exp(x / 4) for x in range(-12, 13)], (25, 50, 100, 200), 25
+_KEY = _dk("'curve'", "seed", "vec_id")
+_LOSSES = f"list_transform({_CURVE!r}, lambda t: -ln(greatest(pow(greatest(p[y + 1], 1e-6), 1 / t) / list_sum(list_transform(p, lambda x: pow(greatest(x, 1e-6), 1 / t))), 1e-6)))"
+
+
+@query("m7_learning_curve", f"""WITH {S.CHOICE}, l AS MATERIALIZED (SELECT vec_id, {_LOSSES} AS l FROM choice),
+k AS (SELECT seed, vec_id, row_number() OVER (PARTITION BY seed ORDER BY {_KEY}, vec_id) AS k FROM l, (SELECT unnest(range(0, {_SEEDS})) AS seed)),
+g AS (SELECT size, seed, i, avg(l.l[i]) AS nll FROM k JOIN l USING (vec_id), (SELECT unnest({list(_SIZES)!r}) AS size), (SELECT unnest(range(1, {len(_CURVE) + 1})) AS i) WHERE k <= size GROUP BY size, seed, i),
+b AS (SELECT size, seed, first({_CURVE!r}[i] ORDER BY round(nll, 9), i) AS t FROM g GROUP BY size, seed)
+SELECT size, round(quantile_cont(t, 0.25), 6) AS q25, round(quantile_cont(t, 0.5), 6) AS median, round(quantile_cont(t, 0.75), 6) AS q75 FROM b GROUP BY size""")
 def m7(spark: SparkSession, d: str) -> DataFrame:
-    """Best grid temperature of samples of four sizes, five draws each; one pass makes every draw's sums."""
+    """Best grid temperature of samples of four sizes, 25 draws each.  One pass: the losses of a row on the whole grid are made
+    once, a seed's first rows by hash serve all sizes, and only sums by size, seed and grid point move on."""
     c = S.choice_probs(spark, d)
-    grid = [math.exp(x / 2) for x in range(-4, 5)]
-    draws = [(size, seed) for size in (25, 50, 100, 200) for seed in range(5)]
-    parts = None
-    for size, seed in draws:
-        few = c.orderBy(R.draw(f"curve{seed}", "vec_id"), "vec_id").limit(size)
-        one = C.temperature_grid(few, grid).agg(F.min_by("temperature", "nll").alias("temperature")).select(F.lit(size).alias("size"), F.lit(seed).alias("seed"), "temperature")
-        parts = one if parts is None else parts.unionByName(one)
-    q = F.percentile("temperature", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return parts.groupBy("size").agg(q.alias("q")).select("size", F.element_at("q", 1).alias("q25"), F.element_at("q", 2).alias("median"), F.element_at("q", 3).alias("q75"))
-
-
-@query("b5_item_bootstrap", f"""WITH {S.BINARY}, u AS (SELECT pow(p - y, 2) AS l, row_number() OVER (ORDER BY doc_id) - 1 AS u FROM binary_p), t AS (SELECT count(*) AS n FROM u),
-s AS (SELECT b, {_dk("'items'", 'b', 'i')} % (SELECT n FROM t) AS u FROM (SELECT unnest(range(0, 60)) AS b), (SELECT unnest(range(0, (SELECT n FROM t))) AS i)), r AS (SELECT b, avg(l) AS m FROM s JOIN u USING (u) GROUP BY b)
+    losses = F.array(*[-F.log(F.greatest(F.element_at(C.tempered("p", t), F.col("y") + 1), F.lit(1e-6))) for t in _CURVE])
+    rows = c.select("vec_id", losses.alias("l")).withColumn("seed", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SEEDS - 1).cast("long"))))
+    place = F.row_number().over(Window.partitionBy("seed").orderBy(R.draw("curve", "seed", "vec_id"), "vec_id"))
+    few = rows.withColumn("k", place).where(F.col("k") <= max(_SIZES))
+    each = few.select("seed", "k", F.posexplode("l").alias("i", "nll")).withColumn("size", F.explode(F.array(*[F.lit(n) for n in _SIZES]))).where("k <= size")
+    means = each.groupBy("size", "seed", "i").agg(F.round(F.avg("nll"), 9).alias("nll"))
+    best = means.groupBy("size", "seed").agg(F.min(F.struct("nll", "i")).alias("b")).select("size", F.element_at(F.array(*[F.lit(t) for t in _CURVE]), F.col("b.i") + 1).alias("t"))
+    q = F.percentile("t", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    return best.groupBy("size").agg(q.alias("q")).select("size", *[F.round(F.element_at("q", i), 6).alias(n) for i, n in ((1, "q25"), (2, "median"), (3, "q75"))])
+
+
+_TIMES = lambda u: " + ".join(f"CASE WHEN {u} >= {c!r} THEN 1 ELSE 0 END" for c in R.POISSON)
+
+
+@query("b5_item_bootstrap", f"""WITH {S.BINARY}, s AS (SELECT b, ({_dk("'items'", 'b', 'doc_id')} + 0.5) / 4294967296.0 AS u, pow(p - y, 2) AS l FROM binary_p, (SELECT unnest(range(0, {R.DRAWS})) AS b)),
+r AS (SELECT b, sum(w * l) / sum(w) AS m FROM (SELECT b, l, {_TIMES('u')} AS w FROM s) GROUP BY b)
 SELECT round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM r""")
 def b5(spark: SparkSession, d: str) -> DataFrame:
+    """2,000 draws by Poisson weights made beside the items."""
     items = S.binary_probs(spark, d).select("doc_id", F.pow(F.col("p") - F.col("y"), F.lit(2)).alias("l"))
-    return R.interval(R.redrawn(items, "items", 60, "doc_id").groupBy("b").agg(F.avg("l").alias("m")), "m")
+    sums = R.weighted(items, "items", R.DRAWS, "doc_id").groupBy("b").agg((F.sum(F.col("w") * F.col("l")) / F.sum("w")).alias("m"))
+    return R.interval(sums, "m")
 
 
 @query("a26_a27_histogram_percentiles", f"WITH {TOP} SELECT least(9, CAST(floor(conf * 10) AS INTEGER)) AS bin, count(*) AS n, round(quantile_cont(conf, 0.1), 6) AS p10, round(quantile_cont(conf, 0.5), 6) AS p50, round(quantile_cont(conf, 0.9), 6) AS p90 FROM top GROUP BY 1")

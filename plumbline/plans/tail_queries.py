@@ -45,37 +45,6 @@ def q5(spark: SparkSession, d: str) -> DataFrame:
     return details(spark, d).select("date", "alpha", _r("pnl", 9), _r("var", 9), _r("es", 9), "breached")
 
 
-@query("q3_ewma_volatility", f"""WITH {_RETURNS}, k AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY date) AS i FROM returns), last AS (SELECT asset, max(i) AS m FROM k GROUP BY asset)
-SELECT asset, round(sqrt(sum(CASE WHEN i = m - 99 THEN pow(0.94, 99) ELSE 0.06 * pow(0.94, m - i) END * r * r)), 9) AS sigma FROM k JOIN last USING (asset) WHERE i > m - 100 GROUP BY asset""")
-def q3(spark: SparkSession, d: str) -> DataFrame:
-    """Volatility after the last day, from the last 100 returns of each asset."""
-    r = T.log_returns(S.asset_prices(spark, d)).select("date", "asset", "r")
-    w = Window.partitionBy("asset").orderBy(F.desc("date"))
-    last = r.withColumn("k", F.row_number().over(w)).where("k <= 100").groupBy("asset").agg(F.transform(F.sort_array(F.collect_list(F.struct("date", "r"))), lambda x: x["r"]).alias("past"))
-    v = F.aggregate(F.slice("past", 2, 99), F.pow(F.element_at("past", 1), F.lit(2)), lambda v, x: 0.94 * v + 0.06 * x * x)
-    return last.select("asset", F.round(F.sqrt(v), 9).alias("sigma"))
-
-
-@query("q4_parametric_var", f"""WITH {_RETURNS}, k AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY date DESC) AS i FROM returns), s AS (SELECT * FROM k WHERE i <= 100),
-v AS (SELECT asset, sqrt(sum(CASE WHEN i = 100 THEN pow(0.94, 99) ELSE 0.06 * pow(0.94, i - 1) END * r * r)) * CASE asset WHEN 'A' THEN 0.5 WHEN 'N' THEN 0.3 ELSE 0.2 END AS ws FROM s GROUP BY asset),
-c AS (SELECT a.asset AS a, b.asset AS b, corr(a.r, b.r) AS c FROM s a JOIN s b ON a.date = b.date GROUP BY 1, 2)
-SELECT round(sqrt(sum(x.ws * y.ws * c)), 9) AS sigma, round(-2.3263478740408408 * sqrt(sum(x.ws * y.ws * c)), 9) AS var FROM c JOIN v x ON x.asset = a JOIN v y ON y.asset = b""")
-def q4(spark: SparkSession, d: str) -> DataFrame:
-    """Zero mean, EWMA volatilities, the sample's correlations; the weights' quadratic form."""
-    r = T.log_returns(S.asset_prices(spark, d))
-    w = Window.partitionBy("asset").orderBy(F.desc("date"))
-    last = r.withColumn("k", F.row_number().over(w)).where("k <= 100")
-    weight = F.when(F.col("asset") == "A", 0.5).when(F.col("asset") == "N", 0.3).otherwise(0.2)
-    v = last.groupBy("asset").agg(F.sqrt(F.sum(F.when(F.col("k") == 100, F.pow(F.lit(0.94), F.lit(99))).otherwise(0.06 * F.pow(F.lit(0.94), F.col("k") - 1)) * F.col("r") * F.col("r"))).alias("s")).withColumn("ws", F.col("s") * weight)
-    b = last.select("date", F.col("asset").alias("b"), F.col("r").alias("rb"))
-    c = last.select("date", F.col("asset").alias("a"), F.col("r").alias("ra")).join(b, "date").groupBy("a", "b").agg(F.corr("ra", "rb").alias("c"))
-    x, y = v.select(F.col("asset").alias("a"), F.col("ws").alias("wa")), v.select(F.col("asset").alias("b"), F.col("ws").alias("wb"))
-    sigma = c.join(x, "a").join(y, "b").agg(F.sqrt(F.sum(F.col("wa") * F.col("wb") * F.col("c"))).alias("sigma"))
-    from statistics import NormalDist
-
-    return sigma.select(_r("sigma", 9), F.round(F.lit(NormalDist().inv_cdf(0.01)) * F.col("sigma"), 9).alias("var"))
-
-
 _CHAIN = f"""{DETAILS}, step AS (SELECT *, lag(breached) OVER (PARTITION BY alpha ORDER BY date) AS px FROM details),
 g AS (SELECT alpha, count(*) AS n, count(*) FILTER (breached) AS breaches, count(*) FILTER (NOT px AND NOT breached) AS n00, count(*) FILTER (NOT px AND breached) AS n01,
   count(*) FILTER (px AND NOT breached) AS n10, count(*) FILTER (px AND breached) AS n11 FROM step GROUP BY alpha)"""
@@ -171,7 +140,7 @@ def w10(spark: SparkSession, d: str) -> DataFrame:
     return k.groupBy("alpha").agg(F.count(F.when(F.col("breached") & (F.col("r") <= 250), 1)).alias("last_250"), (F.max("p") - F.max(F.when(F.col("breached"), F.col("p")))).alias("days_since"))
 
 
-@query("a18_a20_breaches_by_year", f"WITH {DETAILS} SELECT alpha, year(date) AS year, count(*) FILTER (breached) AS breaches, round(count(*) * alpha, 6) AS expected FROM details GROUP BY alpha, 2")
+@query("a20_breaches_by_year", f"WITH {DETAILS} SELECT alpha, year(date) AS year, count(*) FILTER (breached) AS breaches, round(count(*) * alpha, 6) AS expected FROM details GROUP BY alpha, 2")
 def a18(spark: SparkSession, d: str) -> DataFrame:
     return details(spark, d).groupBy("alpha", F.year("date").cast("long").alias("year")).agg(F.count(F.when(F.col("breached"), 1)).alias("breaches"), F.round(F.count(F.lit(1)) * F.first("alpha"), 6).alias("expected"))
 
@@ -185,13 +154,6 @@ def a19(spark: SparkSession, d: str) -> DataFrame:
     return wide.toDF("alpha", "slide", "shock", "calm").select("alpha", _r("slide"), _r("shock"), _r("calm"))
 
 
-@query("a21_flips_across_nulls", f"""WITH {DETAILS}, m AS (SELECT date, count(DISTINCT breached) AS kinds, bool_or(breached) AS one, bool_and(breached) AS each FROM details GROUP BY date)
-SELECT count(*) FILTER (kinds > 1) AS flips, count(*) FILTER (one) AS any_breach, count(*) FILTER (each) AS all_breach FROM m""")
-def a21(spark: SparkSession, d: str) -> DataFrame:
-    m = details(spark, d).groupBy("date").agg(F.countDistinct("breached").alias("kinds"), F.bool_or("breached").alias("some"), F.bool_and("breached").alias("every"))
-    return m.agg(F.count(F.when(F.col("kinds") > 1, 1)).alias("flips"), F.count(F.when(F.col("some"), 1)).alias("any_breach"), F.count(F.when(F.col("every"), 1)).alias("all_breach"))
-
-
 @query("j7_a33_pairwise_capital", f"""WITH {_CAPITAL}, m AS (SELECT alpha, avg(capital) AS c FROM cap GROUP BY alpha)
 SELECT a.alpha AS one, b.alpha AS other, round(a.c - b.c, 9) AS difference, round((a.c - b.c) / b.c, 6) AS share FROM m a JOIN m b ON a.alpha <> b.alpha""")
 def j7(spark: SparkSession, d: str) -> DataFrame:
@@ -200,15 +162,6 @@ def j7(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, F.col("one") != F.col("other")).select("one", "other", F.round(F.col("ca") - F.col("cb"), 9).alias("difference"), F.round((F.col("ca") - F.col("cb")) / F.col("cb"), 6).alias("share"))
 
 
-@query("j5_j14_run_comparison", f"""WITH {DETAILS}, a AS (SELECT date, breached FROM details WHERE alpha = 0.01), b AS (SELECT date, breached FROM details WHERE alpha = 0.025)
-SELECT count(*) AS days, count(*) FILTER (a.breached = b.breached) AS same, count(*) FILTER (a.breached AND NOT b.breached) AS lost FROM a JOIN b USING (date)""")
-def j5(spark: SparkSession, d: str) -> DataFrame:
-    x = details(spark, d)
-    a, b = (x.where(F.col("alpha") == al).select("date", F.col("breached").alias(n)) for al, n in ((0.01, "a"), (0.025, "b")))
-    j = a.join(b, "date")
-    return j.agg(F.count(F.lit(1)).alias("days"), F.count_if(F.col("a") == F.col("b")).alias("same"), F.count_if(F.col("a") & ~F.col("b")).alias("lost"))
-
-
 @query("a35_calibration_stability", f"WITH {DETAILS}, r AS (SELECT alpha, avg(CAST(breached AS INTEGER)) OVER {_ROLL} AS rate, count(*) OVER {_ROLL} AS n FROM details) SELECT alpha, round(stddev_samp(rate), 6) AS sd FROM r WHERE n = 250 GROUP BY alpha")
 def a35(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("alpha").orderBy("date").rowsBetween(-249, 0)
@@ -224,13 +177,17 @@ def a39(spark: SparkSession, d: str) -> DataFrame:
     return k.groupBy("alpha").agg(F.round(F.avg(F.when(F.col("breached"), F.abs("pnl") / F.abs("var"))), 6).alias("severity"), share("green"), share("yellow"), share("red"))
 
 
+_WILSON = lambda z: f"""round(greatest(0, ((p + {z} * {z} / (2 * n)) - {z} * sqrt(p * (1 - p) / n + {z} * {z} / (4 * n * n))) / (1 + {z} * {z} / n)), 9) AS lo%s,
+  round(least(1, ((p + {z} * {z} / (2 * n)) + {z} * sqrt(p * (1 - p) / n + {z} * {z} / (4 * n * n))) / (1 + {z} * {z} / n)), 9) AS hi%s"""
+
+
 @query("t1_wilson_interval", f"""WITH {DETAILS}, g AS (SELECT alpha, count(*) AS n, count(*) FILTER (breached) / count(*) AS p FROM details GROUP BY alpha)
-SELECT alpha, round(greatest(0, ((p + 1.96 * 1.96 / (2 * n)) - 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4 * n * n))) / (1 + 1.96 * 1.96 / n)), 9) AS lo,
-  round(least(1, ((p + 1.96 * 1.96 / (2 * n)) + 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4 * n * n))) / (1 + 1.96 * 1.96 / n)), 9) AS hi FROM g""")
+SELECT alpha, {_WILSON(repr(T.Z95)) % ("", "")}, {_WILSON("1.96") % ("_fixed", "_fixed")} FROM g""")
 def t1(spark: SparkSession, d: str) -> DataFrame:
+    """With the normal quantile, and with the 1.96 that some users fix."""
     g = T.breach_stats(details(spark, d), "alpha")
-    lo, hi = T.wilson(F.col("breaches"), F.col("n"))
-    return g.select("alpha", F.round(lo, 9).alias("lo"), F.round(hi, 9).alias("hi"))
+    (lo, hi), (low, high) = T.wilson(F.col("breaches"), F.col("n")), T.wilson(F.col("breaches"), F.col("n"), 1.96)
+    return g.select("alpha", F.round(lo, 9).alias("lo"), F.round(hi, 9).alias("hi"), F.round(low, 9).alias("lo_fixed"), F.round(high, 9).alias("hi_fixed"))
 
 
 def _dk(*parts: str) -> str:
@@ -238,63 +195,3 @@ def _dk(*parts: str) -> str:
     return f"('0x' || substr(md5({said}), 1, 8))::BIGINT"
 
 
-@query("t5_monte_carlo_p_value", f"""WITH {DETAILS}, days AS (SELECT row_number() OVER (ORDER BY date) AS i, breached FROM details WHERE alpha = 0.01),
-sims AS (SELECT b, count(*) AS n, count(*) FILTER (({_dk("'null'", 'b', 'i')} + 0.5) / 4294967296.0 < 0.01) AS breaches, CAST(0.01 AS DOUBLE) AS alpha FROM (SELECT unnest(range(0, 60)) AS b), days GROUP BY b),
-seen AS (SELECT count(*) AS n, count(*) FILTER (breached) AS breaches, CAST(0.01 AS DOUBLE) AS alpha FROM days)
-SELECT round(avg(CASE WHEN round({_KUPIEC}, 9) >= (SELECT round({_KUPIEC}, 9) FROM seen) THEN 1.0 ELSE 0 END), 6) AS p FROM sims""")
-def t5(spark: SparkSession, d: str) -> DataFrame:
-    days = details(spark, d).where("alpha = 0.01").withColumn("i", F.row_number().over(Window.partitionBy("alpha").orderBy("date")).cast("long"))
-    sims = spark.range(60).withColumnRenamed("id", "b").crossJoin(days.select("i", "alpha")).withColumn("hit", R.uniform("null", "b", "i") < F.col("alpha"))
-    stat = lambda g: F.round(T.kupiec(F.col("n"), F.col("x"), F.lit(0.01)), 9).alias(g)
-    null = sims.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("hit"), 1)).alias("x")).select(stat("lr"))
-    seen = days.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("breached"), 1)).alias("x")).select(stat("seen"))
-    return null.crossJoin(F.broadcast(seen)).agg(F.round(F.avg((F.col("lr") >= F.col("seen")).cast("double")), 6).alias("p"))  # one row
-
-
-@query("b0_b1_day_bootstrap", f"""WITH {DETAILS}, days AS (SELECT year(date) AS y, month(date) AS m, count(*) AS n, count(*) FILTER (breached) AS x, row_number() OVER (ORDER BY year(date) * 100 + month(date)) - 1 AS u FROM details WHERE alpha = 0.025 GROUP BY 1, 2),
-t AS (SELECT count(*) AS n FROM days), s AS (SELECT b, i, {_dk("'months'", 'b', 'i')} % (SELECT n FROM t) AS u FROM (SELECT unnest(range(0, 100)) AS b), (SELECT unnest(range(0, (SELECT n FROM t))) AS i)),
-r AS (SELECT b, sum(x) / sum(n) AS rate FROM s JOIN days USING (u) GROUP BY b)
-SELECT round(quantile_cont(rate, 0.025), 6) AS lo, round(quantile_cont(rate, 0.975), 6) AS hi FROM r""")
-def b1(spark: SparkSession, d: str) -> DataFrame:
-    """Whole months redrawn, from their counts alone."""
-    months = details(spark, d).where("alpha = 0.025").groupBy((F.year("date") * 100 + F.month("date")).alias("month")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("breached"), 1)).alias("x"))
-    rates = R.redrawn(months, "months", 100, "month").groupBy("b").agg((F.sum("x") / F.sum("n")).alias("rate"))
-    return R.interval(rates, "rate")
-
-
-@query("b2_block_bootstrap_of_rolling_counts", f"""WITH {DETAILS}, rows_ AS (SELECT date_trunc('year', date) AS y, date, breached FROM details WHERE alpha = 0.01), units AS (SELECT y, row_number() OVER (ORDER BY y) - 1 AS u FROM (SELECT DISTINCT y FROM rows_)),
-t AS (SELECT count(*) AS n FROM units), s AS (SELECT b, i, {_dk("'years'", 'b', 'i')} % (SELECT n FROM t) AS u FROM (SELECT unnest(range(0, 20)) AS b), (SELECT unnest(range(0, (SELECT n FROM t))) AS i)),
-j AS (SELECT b, breached, row_number() OVER (PARTITION BY b ORDER BY i, date) AS k FROM s JOIN units USING (u) JOIN rows_ USING (y)),
-c AS (SELECT b, sum(CAST(breached AS INTEGER)) OVER w AS c, count(*) OVER w AS n FROM j WINDOW w AS (PARTITION BY b ORDER BY k ROWS BETWEEN 249 PRECEDING AND CURRENT ROW)),
-o AS (SELECT b, avg(CASE WHEN c >= 5 THEN 1.0 ELSE 0 END) AS share FROM c WHERE n = 250 GROUP BY b)
-SELECT round(quantile_cont(share, 0.025), 6) AS lo, round(quantile_cont(share, 0.975), 6) AS hi FROM o""")
-def b2(spark: SparkSession, d: str) -> DataFrame:
-    """Whole years redrawn with their rows, which stay in order, for a statistic of rolling windows."""
-    rows = details(spark, d).where("alpha = 0.01").select(F.year("date").alias("y"), "date", "breached")
-    drawn = R.redrawn(rows.select("y").distinct(), "years", 20, "y").join(rows, "y")
-    w = Window.partitionBy("b").orderBy("i", "date").rowsBetween(-249, 0)
-    c = drawn.select("b", F.sum(F.col("breached").cast("int")).over(w).alias("c"), F.count(F.lit(1)).over(w).alias("n")).where("n = 250")
-    return R.interval(c.groupBy("b").agg(F.avg((F.col("c") >= 5).cast("double")).alias("share")), "share")
-
-
-@query("b4_moving_block_bootstrap", f"""WITH {DETAILS}, x AS (SELECT row_number() OVER (ORDER BY date) - 1 AS p, CAST(breached AS INTEGER) AS x FROM details WHERE alpha = 0.025), t AS (SELECT count(*) AS n FROM x),
-s AS (SELECT b, j, {_dk("'blocks'", 'b', 'j')} % (SELECT n - 4 FROM t) AS s FROM (SELECT unnest(range(0, 40)) AS b), (SELECT unnest(range(0, CAST((SELECT ceil(n / 5) FROM t) AS BIGINT))) AS j)),
-r AS (SELECT b, avg(x.x) AS rate FROM s, (SELECT unnest(range(0, 5)) AS o), x WHERE x.p = s.s + o AND j * 5 + o < (SELECT n FROM t) GROUP BY b)
-SELECT round(quantile_cont(rate, 0.025), 6) AS lo, round(quantile_cont(rate, 0.975), 6) AS hi FROM r""")
-def b4(spark: SparkSession, d: str) -> DataFrame:
-    """Blocks of five days from any start, cut to the length of the series."""
-    x = details(spark, d).where("alpha = 0.025").select((F.row_number().over(Window.partitionBy("alpha").orderBy("date")) - 1).cast("long").alias("p"), F.col("breached").cast("int").alias("x"))
-    n = F.broadcast(x.agg(F.count(F.lit(1)).alias("n")))  # one row
-    starts = spark.range(40).withColumnRenamed("id", "b").crossJoin(n).select("b", "n", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / 5) - 1)).alias("j"))
-    days = starts.select("b", "n", "j", (R.draw("blocks", "b", "j") % (F.col("n") - 4)).alias("s"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("o")).where("j * 5 + o < n")
-    rates = days.select("b", (F.col("s") + F.col("o")).alias("p")).join(x, "p").groupBy("b").agg(F.avg("x").alias("rate"))
-    return R.interval(rates, "rate")
-
-
-@query("r10_regime_verdict", f"""WITH {DETAILS}, g AS (SELECT {_TAG} AS tag, alpha, count(*) AS n, count(*) FILTER (breached) AS x FROM details GROUP BY 1, 2)
-SELECT tag, alpha, n, x, round(3.0 / n, 6) AS rule_of_three, CASE WHEN x = 0 AND 3.0 / n >= 0.5 THEN 'too few days to say' WHEN x = 0 AND 3.0 / n < alpha THEN 'below target' WHEN x = 0 THEN 'consistent with target' ELSE 'has breaches' END AS verdict FROM g""")
-def r10(spark: SparkSession, d: str) -> DataFrame:
-    g = details(spark, d).groupBy(P.stress_tag("date").alias("tag"), "alpha").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("breached"), 1)).alias("x"))
-    three, none = 3.0 / F.col("n"), F.col("x") == 0
-    verdict = F.when(none & (three >= 0.5), "too few days to say").when(none & (three < F.col("alpha")), "below target").when(none, "consistent with target").otherwise("has breaches")
-    return g.select("tag", "alpha", "n", "x", F.round(three, 6).alias("rule_of_three"), verdict.alias("verdict"))

@@ -48,11 +48,12 @@ def monthly_series(spark: SparkSession, path: str, ts: str = "ts") -> DataFrame:
     return rows.withColumn("k_", F.row_number().over(Window.partitionBy(ts).orderBy("f_", "i_"))).where("k_ = 1").drop("f_", "i_", "k_")
 
 
-def last_records(spark: SparkSession, path: str, schema: T.StructType = CHOICE_LOG, key: str = "req_hash", status: str = "ok") -> DataFrame:
-    """The last good record of each request in an append-only JSON log."""
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line_"))
+def last_records(spark: SparkSession, path: str, schema: T.StructType = CHOICE_LOG, key: str = "req_hash", status: str = "ok", time: str = "ts") -> DataFrame:
+    """The last good record of each request in an append-only JSON log: the latest by its own time, of equal times the one in
+    the file with the last name, and there the last line.  (A scan takes files by size, so lines alone have no order across files.)"""
+    lines = spark.read.text(path).select("value", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("line_"))
     rows = lines.select(F.from_json("value", schema).alias("r"), "line_").select("r.*", "line_").where(F.col("status") == status)
-    return rows.withColumn("k_", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("line_")))).where("k_ = 1").drop("line_", "k_")
+    return rows.withColumn("k_", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(time), F.desc("line_")))).where("k_ = 1").drop("line_", "k_")
 
 
 def request_hash(*parts: str | Column) -> Column:
@@ -87,6 +88,36 @@ def filled_curve(points: DataFrame, start: str, length: str, position: str, valu
     return axis.join(points.select(start, position, value), [start, position], "left").withColumn(value, F.last(value, ignorenulls=True).over(w))
 
 
+PERIOD = "timeInterval struct<start:string,end:string>, resolution string, Point array<struct<position:int,quantity:double>>"
+
+
+def xml_series(spark: SparkSession, path: str) -> DataFrame:
+    """ts, value of the periods of time-series documents.  A period says its interval, the step (PT15M, PT1H) and its points by
+    position; a position that it leaves out repeats the one before."""
+    raw = spark.read.format("xml").option("rowTag", "Period").schema(PERIOD).load(path)
+    number = F.regexp_extract("resolution", r"^PT(\d+)[MH]$", 1).cast("int")
+    minutes = F.when(F.col("resolution").endswith("H"), 60 * number).otherwise(number)
+    start, end = F.to_timestamp("timeInterval.start", "yyyy-MM-dd'T'HH:mmX"), F.to_timestamp("timeInterval.end", "yyyy-MM-dd'T'HH:mmX")
+    periods = raw.select(start.alias("start"), minutes.alias("minutes"), ((F.unix_timestamp(end) - F.unix_timestamp(start)) / 60 / minutes).cast("int").alias("n"), "Point")
+    points = periods.select("start", "minutes", "n", F.explode("Point").alias("p")).select("start", "minutes", "n", "p.position", "p.quantity")
+    filled = filled_curve(points, "start", "n", "position", "quantity").join(periods.select("start", "minutes").distinct(), "start")
+    at = F.timestamp_seconds(F.unix_timestamp("start") + (F.col("position") - 1) * F.col("minutes") * 60)
+    return filled.select(at.alias("ts"), F.col("quantity").alias("value"))
+
+
+def tolerance_sheet(spark: SparkSession, path: str, sep: str = ",") -> tuple[DataFrame, DataFrame]:
+    """(limits, long measurements) of a sheet saved as one CSV file: rows of names, nominals, upper and lower tolerances, each
+    named in the first column, then a row a part.  Only the four head rows are looked at to plan; the body stays a scan."""
+    lines = spark.read.text(path)
+    cut = F.split("value", sep, -1)
+    head = {r[0][0]: r[0][1:] for r in lines.where(F.split("value", sep).getItem(0).isin("name", "nominal", "upper", "lower")).select(cut).collect()}  # four rows
+    limits, _ = header_block([head["name"], head["nominal"], head["upper"], head["lower"]])
+    body = lines.where(~F.split("value", sep).getItem(0).isin("name", "nominal", "upper", "lower")).select(cut.alias("c"))
+    cells = F.filter(F.array(*[F.struct(F.lit(n).alias("dimension"), F.expr(f"try_cast(nullif(trim(get(c, {i + 1})), '') AS double)").alias("value")) for i, n in enumerate(head["name"])]), lambda x: x["dimension"] != "")
+    long = body.select(F.col("c").getItem(0).alias("part"), F.explode(cells).alias("x")).select("part", "x.dimension", "x.value")
+    return spark.createDataFrame(limits, "dimension string, nominal double, upper double, lower double"), long
+
+
 def finite(df: DataFrame) -> DataFrame:
     """Non-finite doubles become null, as JSON has no word for them."""
     fix = {f.name: F.when(F.isnan(f.name) | (F.abs(f.name) == float("inf")), None).otherwise(F.col(f.name)) for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
@@ -99,14 +130,26 @@ def write_months(df: DataFrame, path: str, ts: str = "ts") -> None:
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
 
 
-def write_text(path: str, lines: list[str]) -> None:
-    """Line feeds only, so that the bytes are the same everywhere.  For reports of a few rows, on the driver."""
-    Path(path).write_bytes(("\n".join(lines) + "\n").encode())
+def write_text(spark: SparkSession, path: str, lines: list[str]) -> None:
+    """Line feeds only, so that the bytes are the same everywhere.  For reports of a few rows, from the driver to any store that Spark writes to."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(conf).create(at, True)
+    try:
+        out.write(bytearray(("\n".join(lines) + "\n").encode()))
+    finally:
+        out.close()
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """file (its name), bytes and sha256 of every file of a report folder."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
-def folder_digest(path: str) -> str:
-    """SHA-256 over names and bytes of all files of a report folder, in order of name."""
+def folder_digest(spark: SparkSession, path: str) -> str:
+    """SHA-256 over names and digests of all files of a report folder, in order of name."""
     whole = hashlib.sha256()
-    for f in sorted(p for p in Path(path).rglob("*") if p.is_file()):
-        whole.update(f.relative_to(path).as_posix().encode() + b"\0" + hashlib.sha256(f.read_bytes()).digest())
+    for name, digest in sorted((r["file"], r["sha256"]) for r in file_digests(spark, path).collect()):  # a row a file
+        whole.update(name.encode() + b"\0" + bytes.fromhex(digest))
     return whole.hexdigest()

@@ -60,9 +60,34 @@ def test_sinks(spark, tmp_path):
     files.write_months(df.where("v = 1.5"), str(tmp_path / "m"))
     back = spark.read.parquet(str(tmp_path / "m"))
     assert sorted((str(r["month"]), r["n"]) for r in back.groupBy("month").agg(F.count(F.lit(1)).alias("n")).collect()) == [("2024-01", 1), ("2024-02", 1)]
-    (tmp_path / "r").mkdir()
-    files.write_text(str(tmp_path / "r/a.txt"), ["x", "y"])
+    files.write_text(spark, f"file://{tmp_path}/r/a.txt", ["x", "y"])
     assert (tmp_path / "r/a.txt").read_bytes() == b"x\ny\n"
-    first = files.folder_digest(str(tmp_path / "r"))
-    files.write_text(str(tmp_path / "r/a.txt"), ["x", "z"])
-    assert first != files.folder_digest(str(tmp_path / "r"))
+    (tmp_path / "r/.a.txt.crc").unlink(missing_ok=True)
+    first = files.folder_digest(spark, f"file://{tmp_path}/r")
+    files.write_text(spark, f"file://{tmp_path}/r/a.txt", ["x", "z"])
+    assert first != files.folder_digest(spark, f"file://{tmp_path}/r")
+
+
+def test_the_latest_record_wins_whatever_file_it_is_in(spark, tmp_path):
+    rec = lambda ts, c: json.dumps({"ts": ts, "req_hash": "x", "status": "ok", "response": {"choice": c}})
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log/a.jsonl").write_text("\n".join([rec("2024-01-02", "late"), *[rec("2024-01-01", "old")] * 50]) + "\n")
+    (tmp_path / "log/b.jsonl").write_text(rec("2024-01-01", "b") + "\n")
+    assert files.last_records(spark, str(tmp_path / "log")).first()["response"]["choice"] == "late"
+    (tmp_path / "log/c.jsonl").write_text("\n".join([rec("2024-01-02", "c1"), rec("2024-01-02", "c2")]) + "\n")
+    assert files.last_records(spark, str(tmp_path / "log")).first()["response"]["choice"] == "c2"
+
+
+def test_xml_periods(spark, tmp_path):
+    point = lambda p, q: f"<Point><position>{p}</position><quantity>{q}</quantity></Point>"
+    period = lambda a, b, step, pts: f"<Period><timeInterval><start>{a}</start><end>{b}</end></timeInterval><resolution>{step}</resolution>{''.join(pts)}</Period>"
+    (tmp_path / "x.xml").write_text("<D><TimeSeries>" + period("2024-01-01T00:00Z", "2024-01-01T01:00Z", "PT15M", [point(1, 5), point(4, 7)]) + period("2024-01-01T01:00Z", "2024-01-01T03:00Z", "PT1H", [point(1, 9)]) + "</TimeSeries></D>")
+    got = files.xml_series(spark, str(tmp_path / "x.xml")).orderBy("ts").collect()
+    assert [(r["ts"].hour * 60 + r["ts"].minute, r["value"]) for r in got] == [(0, 5.0), (15, 5.0), (30, 5.0), (45, 7.0), (60, 9.0), (120, 9.0)]
+
+
+def test_tolerance_sheet(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("name,d1,,d2\nnominal,10,,5\nupper,0.1,,0.2\nlower,-0.3,,-0.2\np1,10.05,x,\np2,9.9,,5.1\n")
+    limits, long = files.tolerance_sheet(spark, str(tmp_path / "s.csv"))
+    assert sorted(map(tuple, limits.collect())) == [("d1", 10.0, 10.1, 9.7), ("d2", 5.0, 5.2, 4.8)]
+    assert sorted(map(tuple, long.collect()), key=str) == [("p1", "d1", 10.05), ("p1", "d2", None), ("p2", "d1", 9.9), ("p2", "d2", 5.1)]
