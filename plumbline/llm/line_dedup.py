@@ -1,7 +1,7 @@
 """Site-relative line de-duplication.
 
 A line is boilerplate of a host if more than `ratio` of the host's pages hold it, and at
-least `least` pages do.  Lines are counted once a page (array_distinct, no shuffle) and by
+least `least` pages do (so hosts with fewer pages are never cleaned).  Lines are counted once a page (array_distinct, no shuffle) and by
 digest, with partial counts before the shuffle, so a hot host is no more than one
 counter a line and task.  What is found is a short list a host: it holds at most the lines a
 page / ratio.  Pages meet their host's list in an ordinary join: Spark broadcasts the lists, and
@@ -44,9 +44,9 @@ def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", rati
     return held.where(F.col("pages") > ratio * F.col("total")).select("c.host", "key", "pages", (F.col("pages") / F.col("total")).alias("share"))
 
 
-def drop_lines(pages: DataFrame, folder: str, host: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST) -> DataFrame:
-    """`pages` with their boilerplate lines taken out, and the added column `dropped_lines`
-    (which replaces a column of that name)."""
+def drop_lines(pages: DataFrame, folder: str, host: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST, counter: str | None = "dropped_lines") -> DataFrame:
+    """`pages` with their boilerplate lines taken out, and the added column `counter`, the number of those lines
+    (which replaces a column of that name; none for None)."""
     found = boilerplate(pages, host, text, ratio, least).groupBy("host").agg(F.collect_list("key").alias("keys"))  # a host's list is bounded
     found = materialize(found, folder, "boilerplate").alias("b")
     joined = pages.alias("p").join(found, F.col(f"p.{host}").eqNullSafe(F.col("b.host")), "left")
@@ -54,8 +54,8 @@ def drop_lines(pages: DataFrame, folder: str, host: str = "source", text: str =
     kept = F.filter(lines, lambda line: ~F.coalesce(F.array_contains("b.keys", _key(line)), F.lit(False)))
     clean = F.col("b.keys").isNull() | F.col(f"p.{text}").isNull()
     cleaned = F.when(clean, F.col(f"p.{text}")).otherwise(F.array_join(kept, "\n"))
-    columns = [cleaned.alias(c) if c == text else F.col(f"p.`{c}`") for c in pages.columns if c != "dropped_lines"]
-    return joined.select(*columns, F.when(clean, 0).otherwise(F.size(lines) - F.size(kept)).alias("dropped_lines"))
+    columns = [cleaned.alias(c) if c == text else F.col(f"p.`{c}`") for c in pages.columns if c != counter]
+    return joined.select(*columns, *([] if counter is None else [F.when(clean, 0).otherwise(F.size(lines) - F.size(kept)).alias(counter)]))
 
 
 #: DuckDB twin of the registered query, over `documents`.

@@ -57,6 +57,67 @@ def test_very_large_components_stay_exact(spark, folder):
     assert got == {i: hold(dot(rows[0][1], e)) for i, e, _ in rows[1:]}
 
 
+def test_one_outlier_leaves_a_tile_fast_and_exact(spark, folder):
+    """A tile with one huge row and copies of it, among thousands of ordinary ones."""
+    rng = np.random.default_rng(11)
+    rows = [(i, [float(v) for v in e], 0) for i, e in enumerate(rng.standard_normal((2000, 16)).astype(np.float32))]
+    rows += [(2000 + i, [float(np.float32(1e9 * v)) for v in rng.standard_normal(16).astype(np.float32)], 0) for i in range(2)] + [(2100 + i, rows[7][1], 0) for i in range(50)]
+    df = table(spark, rows, extra=False).coalesce(1)
+    got = sorted(map(tuple, topk.search(df, df.where("vec_id % 50 = 0"), folder, k=5).collect()))
+    dot = lambda x, y: sum(math.floor(1024 * a) * math.floor(1024 * b) for a, b in zip(x, y, strict=True))
+    assert got == brute(rows, 50, 5, dot, finite)
+
+
+def test_scores_beyond_a_long_are_ranked_as_what_they_are(spark, folder):
+    """All of these are shown as an end of a long; their order is by the true score, in one task and over several."""
+    sizes = [3e20, 1e20, 5e20, 2e20, 4e20, 5e20]
+    rows = [(100, [1e20, 1.0], 0)] + [(i, [float(np.float32(v)), 0.0], 0) for i, v in enumerate(sizes)] + [(50 + i, [-float(np.float32(v)), 0.0], 0) for i, v in enumerate(sizes)]
+    for n in (1, 5):
+        df = table(spark, rows, extra=False).repartition(n)
+        got = [r["vec_id"] for r in topk.search(df, df.where("vec_id = 100"), f"{folder}/{n}", k=12).orderBy("rank").collect()]
+        assert got == [2, 5, 4, 0, 3, 1, 51, 53, 50, 54, 52, 55]
+
+
+def test_neighbours_of_few_rows_are_all_of_them(spark, folder):
+    """Fewer candidates than k, a length that only one other row has, and a query whose id is repeated."""
+    rows = [(i, [float(v) for v in e], 0) for i, e in enumerate(np.random.default_rng(5).standard_normal((9, 4)))]
+    rows += [(20, [1.0, 2.0], 0), (21, [2.0, 1.0], 0)] + [(40, [1.0, 0.0, 0.0, 0.0], 0)] * 25 + [(41, [1.0, 0.0, 0.0, 0.0], 0)]
+    got = ann.search(table(spark, rows), table(spark, rows).where("vec_id IN (0, 20, 40)"), folder, k=40).collect()
+    found = {}
+    for r in got:
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    assert {v for _, v in found[0]} == {*range(1, 9), 40, 41} and [v for _, v in found[20]] == [21]
+    assert {v for _, v in found[40]} == {*range(9), 41}
+
+
+def test_copies_of_one_vector_under_many_ids():
+    x = np.repeat([[1.0, 2.0]], 60, axis=0)
+    ids = np.array([7] * 30 + list(range(100, 130)))
+    kept = ids[ann.first_copies(ids, x, 5)]
+    assert sorted(set(kept.tolist())) == [7, 100, 101, 102, 103] and (kept == 7).sum() == 5
+
+
+def test_structured_vectors_are_found_by_few_candidates(spark, folder):
+    rng = np.random.default_rng(1)
+    centres = rng.standard_normal((40, 32))
+    x = centres[rng.integers(0, 40, 2000)] / 5 + 0.05 * rng.standard_normal((2000, 32))
+    rows = [(i, [float(v) for v in e], 0) for i, e in enumerate(x.astype(np.float32))]
+    df, shares = table(spark, rows, extra=False), []
+    got = {(r["query_id"], r["vec_id"]) for r in ann.search(df, df.where("vec_id % 20 = 0"), folder, k=10, shares=shares).collect()}
+    want = brute(rows, 20, 10, lambda a, b: float(np.dot(a, b)), finite)
+    assert len(got & {(q, v) for q, _, v, _ in want}) >= 0.9 * len(want)
+    assert [n for n, _, _ in shares] == [32] and shares[0][2] < 0.25
+
+
+def test_where_probes_do_not_reach_the_target_all_rows_are_candidates(spark, folder, monkeypatch):
+    monkeypatch.setattr(ann, "MOST_PROBES", 1)
+    rows = vectors(300, 16, 9)
+    df, shares = table(spark, rows), []
+    got = {(r["query_id"], r["rank"], r["vec_id"]) for r in ann.search(df, df.where("vec_id % 20 = 0"), folder, k=5, shares=shares).collect()}
+    inner = lambda x, y: float((np.float64(np.float32(x)) * np.float64(np.float32(y))).sum())
+    assert shares == [(16, None, 1.0)] and got == {r[:3] for r in brute(rows, 20, 5, inner, finite)}
+
+
 def test_neighbours_recall_scores_and_order(spark, folder):
     rows = vectors(800, 16, 3) + odd_rows()
     df = table(spark, rows).repartition(3)
