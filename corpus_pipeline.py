@@ -21,7 +21,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without its site's boilerplate lines."""
-    return line_dedup.drop_lines(docs, scratch(spark)).select(*docs.columns)
+    return line_dedup.drop_lines(docs, scratch(spark), counter=None)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
