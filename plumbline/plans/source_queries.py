@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.settle import shared
 from plumbline.plans.registry import query
-from plumbline.sources import files
+from plumbline.sources import files, matlab, publish, pulls
 from plumbline.sources import tables as S
+from plumbline.sources.files import shipped
 
 
 @query("s4_trace_columns", "SELECT event_id AS tick, round(value, 2) AS force FROM events")
@@ -39,6 +40,25 @@ def s6(spark: SparkSession, d: str) -> DataFrame:
     return seen.groupBy("dimension", "nominal", F.round("upper", 3).alias("upper"), F.round("lower", 3).alias("lower")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(outside, 1)).alias("outside"))
 
 
+@query("s7_struct_array", """WITH s AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events)
+SELECT user_id, count(*) AS samples, round(sum(value), 4) AS total, round(max(value) FILTER (k = 1), 6) AS first, CASE WHEN user_id % 4 > 0 THEN CAST(user_id AS DOUBLE) / 10 END AS wear FROM s GROUP BY user_id""")
+def s7(spark: SparkSession, d: str) -> DataFrame:
+    """Every user's signal in struct arrays of ten users each, with ragged channels and scalars that are missing; written and read."""
+    shipped(spark)
+    signal = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda x: x["value"])  # a signal is an array
+    signals = S.table(spark, d, "events").groupBy("user_id").agg(signal.alias("x")).withColumn("part", F.floor(F.col("user_id") / 10))
+
+    def write(pdf):
+        import pandas as pd
+
+        rows = [{"run": float(u), "wear": u / 10 if u % 4 else float("nan"), "x": x} for u, x in zip(pdf["user_id"].tolist(), pdf["x"], strict=True)]
+        return pd.DataFrame({"content": [matlab.file_bytes("mill", rows, packed=len(rows) % 2 == 0)]})
+
+    back = matlab.records(signals.groupBy("part").applyInPandas(write, "content binary"), "mill", ["run", "wear"], ["x"])
+    total = F.aggregate("x", F.lit(0.0), lambda a, v: a + v)
+    return back.select(F.col("run").cast("long").alias("user_id"), F.size("x").cast("long").alias("samples"), F.round(total, 4).alias("total"), F.round(F.element_at("x", 1), 6).alias("first"), "wear")
+
+
 @query("s8_s15_log_and_resume", """WITH r AS (SELECT event_id, user_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
 last AS (SELECT user_id, k FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM r WHERE event_type <> 'error') WHERE n = 1)
 SELECT u.user_id, k IS NOT NULL AS done, k FROM (SELECT DISTINCT user_id FROM r) u LEFT JOIN last USING (user_id) UNION ALL SELECT -1, false, NULL""")
@@ -120,3 +140,86 @@ def s18(spark: SparkSession, d: str) -> DataFrame:
     for region in sorted({r["n_regionkey"] for r in rows}):
         files.write_text(spark, f"{path}/region-{region}.txt", [f"{r['n_nationkey']} {r['n_name']}" for r in rows if r["n_regionkey"] == region])
     return files.file_digests(spark, path)
+
+
+_MONTHS = ["2024-01", "2024-02", "2024-03"]
+TOKEN = "hush-7f3a"
+
+
+def _service(series: str, month: str) -> list[dict]:
+    """Stands for a service: a chunk's days in pages of ten, after a login; one chunk is refused by it for good."""
+    import calendar
+    import hashlib
+
+    if (series, month) == ("load", "2024-02"):
+        raise ValueError(f"https://service/{series}?token={TOKEN} is closed")
+    days = calendar.monthrange(int(month[:4]), int(month[5:]))[1]
+
+    def get(token: str, cursor: int | None) -> tuple[list[dict], int | None]:
+        if token != TOKEN:
+            raise PermissionError("log in")
+        first = cursor or 1
+        page = [{"day": f"{month}-{d:02d}", "value": int(hashlib.md5(f"{series}|{month}-{d:02d}".encode()).hexdigest()[:8], 16) % 1000} for d in range(first, min(first + 10, days + 1))]
+        return page, first + 10 if first + 10 <= days else None
+
+    return list(pulls.paged(get, lambda: TOKEN))
+
+
+@query("s10_s11_monthly_pulls", """WITH c AS (SELECT s AS series, CAST(d AS DATE) AS day FROM (SELECT unnest(['load', 'price']) AS s), (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-03-31', INTERVAL 1 DAY)) AS d)),
+v AS (SELECT series, strftime(day, '%Y-%m') AS month, CAST('0x' || substr(md5(series || '|' || strftime(day, '%Y-%m-%d')), 1, 8) AS BIGINT) % 1000 AS v FROM c)
+SELECT series, month, CASE WHEN series = 'load' AND month = '2024-02' THEN 0 ELSE count(*) END AS n, CASE WHEN series = 'load' AND month = '2024-02' THEN NULL ELSE CAST(sum(v) AS BIGINT) END AS total,
+  CASE WHEN series = 'load' AND month = '2024-02' THEN 'ValueError(''https://service/load?token=*** is closed'')' END AS error FROM v GROUP BY series, month""")
+def s10(spark: SparkSession, d: str) -> DataFrame:
+    """Paged chunks by month from a stand-in for a service, in two runs: the second one only asks for what the first had not."""
+    path = f"{shared(spark)}/pulled"
+    pulls.pull_months(spark, ["load"], _MONTHS[:2], _service, "day date, value long", path, (TOKEN,), attempts=2, wait=0.0)
+    failed = pulls.pull_months(spark, ["load", "price"], _MONTHS, _service, "day date, value long", path, (TOKEN,), attempts=2, wait=0.0)
+    got = spark.read.schema("day date, value long, series string, month string").parquet(path).groupBy("series", "month").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    none = failed.select("series", "month", F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("total"), "error")
+    return got.withColumn("error", F.lit(None).cast("string")).unionByName(none)
+
+
+def _answer(request: dict) -> dict:
+    if request["user_id"] % 10 == 3:
+        raise ValueError("no answer")
+    return {"twice": 2 * request["user_id"]}
+
+
+@query("s15_call_runner", """SELECT user_id, CASE WHEN user_id % 10 = 3 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN user_id % 10 <> 3 THEN 2 * user_id END AS twice, CASE WHEN user_id % 10 = 3 THEN 2 ELSE 1 END AS calls
+FROM (SELECT DISTINCT user_id FROM events)""")
+def s15(spark: SparkSession, d: str) -> DataFrame:
+    """A call an item, logged; the second run only repeats those that failed."""
+    log = f"{shared(spark)}/calls"
+    request = F.to_json(F.struct("user_id"))
+    items = S.table(spark, d, "events").select("user_id").distinct().select(request.alias("request"), files.request_hash("user_id").alias("req_hash"))
+    for _ in range(2):
+        pulls.run_calls(spark, items, _answer, log, attempts=1)
+    rows = spark.read.text(log).select(F.from_json("value", pulls.LOG).alias("r")).select("r.*").withColumn("user_id", F.get_json_object("request", "$.user_id").cast("long"))
+    return rows.groupBy("user_id").agg(
+        F.when(F.bool_or(F.col("status") == "ok"), "ok").otherwise("failed").alias("status"),
+        F.max(F.get_json_object("response", "$.twice").cast("long")).alias("twice"), F.count(F.lit(1)).alias("calls"))
+
+
+@query("s20_report_source", """WITH c AS (SELECT r_name, count(*) AS n FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY r_name),
+l AS (SELECT 0 AS i, '#set document(title: "Nations")' AS text UNION ALL SELECT 1, '= Nations' UNION ALL SELECT 2, '' UNION ALL SELECT 3, '== By region' UNION ALL SELECT 4, '#table(' UNION ALL SELECT 5, '  columns: 2,'
+  UNION ALL SELECT 6, '  align: (left, right),' UNION ALL SELECT 7, '  table.header([*Region*], [*Nations*]),' UNION ALL SELECT 7 + row_number() OVER (ORDER BY r_name), '  [' || replace(r_name, '_', '\\_') || '], [' || n || '],' FROM c UNION ALL SELECT 8 + (SELECT count(*) FROM c), ')')
+SELECT CAST(i AS BIGINT) AS line, text FROM l""")
+def s20(spark: SparkSession, d: str) -> DataFrame:
+    """The source of a report with a table; compiling it is another program's work."""
+    counts = S.table(spark, d, "region").join(S.table(spark, d, "nation"), F.col("r_regionkey") == F.col("n_regionkey")).groupBy("r_name").agg(F.count(F.lit(1)).alias("n"))
+    rows = [tuple(r) for r in counts.orderBy("r_name").collect()]  # a report's rows
+    lines = publish.report_source("Nations", [("By region", publish.table_source(["Region", "Nations"], rows, right=[1]))])
+    return spark.createDataFrame(list(enumerate(lines)), "line long, text string")
+
+
+@query("s21_publish_guards", """SELECT 'n' || n_nationkey || CASE WHEN n_nationkey % 5 = 0 THEN '.bin' ELSE '.txt' END AS file, r.line, r.reason FROM nation, LATERAL (VALUES
+  (0, CASE WHEN n_nationkey % 5 = 0 THEN 'not on the list' END), (0, CASE WHEN n_nationkey % 6 = 0 THEN 'over the size ceiling' END),
+  (2, CASE WHEN n_nationkey % 6 <> 0 AND n_nationkey % 4 = 0 THEN 'credential: access key' END), (1, CASE WHEN n_nationkey % 6 <> 0 AND n_nationkey % 3 = 1 THEN 'a planning word' END)) AS r(line, reason) WHERE r.reason IS NOT NULL""")
+def s21(spark: SparkSession, d: str) -> DataFrame:
+    """A folder of files, some with names that no one listed, some too large, some with a key or a word that must stay inside."""
+    path = f"{shared(spark)}/out"
+    for (k,) in S.table(spark, d, "nation").select("n_nationkey").orderBy("n_nationkey").collect():  # a file each
+        key = "AKIA" + "ABCDEFGHIJKLMNOP" if k % 4 == 0 else "nothing"
+        lines = ["our roadmap says" if k % 3 == 1 else "we say", key, *(["x" * 2_000] if k % 6 == 0 else [])]
+        files.write_text(spark, f"{path}/n{k}{'.bin' if k % 5 == 0 else '.txt'}", lines)
+    return publish.findings(spark, path, ["*.txt"], {r"(?i)\broadmap\b": "a planning word"}, ceiling=1_000)

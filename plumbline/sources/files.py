@@ -132,11 +132,15 @@ def write_months(df: DataFrame, path: str, ts: str = "ts") -> None:
 
 def write_text(spark: SparkSession, path: str, lines: list[str]) -> None:
     """Line feeds only, so that the bytes are the same everywhere.  For reports of a few rows, from the driver to any store that Spark writes to."""
+    write_bytes(spark, path, ("\n".join(lines) + "\n").encode())
+
+
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     at = jvm.org.apache.hadoop.fs.Path(path)
     out = at.getFileSystem(conf).create(at, True)
     try:
-        out.write(bytearray(("\n".join(lines) + "\n").encode()))
+        out.write(bytearray(content))
     finally:
         out.close()
 

@@ -291,3 +291,26 @@ def test_closed_forms_of_the_distribution_table():
         x = np.linspace(-60, q, 400_001)
         f = np.array([NormalDist().pdf(v) for v in x[::100]]) if nu is None else np.array([dist.t_density(v * math.sqrt(6 / 4), nu) * math.sqrt(6 / 4) for v in x[::100]])
         assert np.trapezoid(x[::100] * f, x[::100]) / p == pytest.approx(es, rel=2e-2)
+
+
+def test_stream_states_what_the_batch_states(spark, tmp_path):
+    import datetime as dt
+
+    from plumbline.streaming.calibrated import calibrated_stream
+
+    rng = np.random.default_rng(14)
+    days = [(float(c), float(w), float(x)) for c, w, x in zip(0.1 * rng.standard_normal(90), 1 + rng.random(90), rng.standard_normal(90), strict=True)]
+    rows = [(b, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), c, w, x + k) for k, b in enumerate("xy") for i, (c, w, x) in enumerate(days)]
+    df = spark.createDataFrame(rows, "book string, ts timestamp, centre double, width double, outcome double")
+    for n in range(3):  # files in the order of time
+        hour = (F.unix_timestamp("ts") - 1704067200) / 3600
+        df.where((hour >= 30 * n) & (hour < 30 * (n + 1))).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = calibrated_stream(stream, 0.05).writeStream.format("memory").queryName("calibrated_out").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    out.awaitTermination(120)
+    for k, book in enumerate("xy"):
+        got = spark.table("calibrated_out").where(F.col("book") == book).orderBy("ts").collect()
+        want = plain_band([(c, w, x + k) for c, w, x in days], 0.05)
+        assert len(got) == len(want) == 89
+        assert np.allclose([r["stated"] for r in got], [v for v, _ in want])
+        assert np.allclose([r["level"] for r in got[1:]], [v for _, v in want[:-1]])
