@@ -61,7 +61,7 @@ def test_one_outlier_leaves_a_tile_fast_and_exact(spark, folder):
     """A tile with one huge row and copies of it, among thousands of ordinary ones."""
     rng = np.random.default_rng(11)
     rows = [(i, [float(v) for v in e], 0) for i, e in enumerate(rng.standard_normal((2000, 16)).astype(np.float32))]
-    rows += [(2000 + i, [float(np.float32(1e9 * v)) for v in rng.standard_normal(16).astype(np.float32)], 0) for i in range(2)] + [(2100 + i, rows[7][1], 0) for i in range(50)]
+    rows += [(2000 + i, [float(np.float32(1e5 * v)) for v in rng.standard_normal(16).astype(np.float32)], 0) for i in range(2)] + [(2100 + i, rows[7][1], 0) for i in range(50)]
     df = table(spark, rows, extra=False).coalesce(1)
     got = sorted(map(tuple, topk.search(df, df.where("vec_id % 50 = 0"), folder, k=5).collect()))
     dot = lambda x, y: sum(math.floor(1024 * a) * math.floor(1024 * b) for a, b in zip(x, y, strict=True))
