@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import materialize, ship
+from plumbline.llm.common import forget, materialize, ship
 from plumbline.llm.topk import QUERY_TILE, Lists, blocked, by_length, listed, numbered
 
 TABLES, HASHES, WIDTH = 20, 16, 3.0
@@ -278,6 +278,7 @@ def search(rows: DataFrame, queries: DataFrame, folder: str, k: int = K, block:
         anew = numbered(short.select("vec_id", F.col("x").alias("embedding")), f"{folder}/whole", valid)
         again = blocked(index, anew, f"{folder}/whole", k, block, "double", of_a_task(True))
         found = found.join(short.select("query"), "query", "left_anti").unionByName(again)
+    forget(rows.sparkSession, folder, "index")  # all lists are written
     return found.select("query_id", "rank", "vec_id", "score")
 
 

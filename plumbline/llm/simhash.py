@@ -515,6 +515,7 @@ def named_rows(docs: DataFrame, folder: str, words: int, similarity: float) -> t
     proposed = components(edges, folder).join(distinct.select("node", "fp"), "node")
     found = confirmed(proposed, rows.select(F.col("row").alias("node"), "text"), folder, words, similarity)
     found = materialize(found, folder, "wide_found")
+    forget(docs.sparkSession, folder, "wide_sets", "wide_votes", "wide_centres", "wide_near", "wide_mixed", "wide_links")
     rooted = distinct.join(found, "node", "left").select("digest", F.coalesce("root", "node").alias("root"), "first")
     rooted = materialize(rooted, folder, "wide_rooted")
     first = rooted.groupBy("root").agg(F.min("first").alias("first"))
