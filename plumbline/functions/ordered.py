@@ -24,3 +24,10 @@ def running(df: DataFrame, order: list[str], value: Column, name: str) -> DataFr
 def rank0(df: DataFrame, order: list[str], name: str = "rank0") -> DataFrame:
     """0-based rank in a total order."""
     return running(df, order, F.lit(1).cast("long"), name)
+
+
+def fanned(df: DataFrame) -> DataFrame:
+    """The rows dealt to at least as many tasks as there are cores: for few narrow rows that are about to be multiplied in
+    place, where their own number of partitions says nothing about the work."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))

@@ -7,6 +7,9 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.ordered import fanned
+from plumbline.functions.settle import settle
+
 PENALTY, LEVEL, REPEATS, FOLDS = 1.0, 0.90, 25, 5
 SUMS = ["n", "sx", "sy", "sxx", "sxy", "syy"]
 #: Residuals are compared in steps of a millionth; digits of 16 bits, three of them.
@@ -53,6 +56,7 @@ def half_widths(rows: DataFrame, draw: Column, level: float = LEVEL) -> DataFram
 
     All fits come from sums by group, less those of the rows left out; no fold is ever copied.  draw: a hash of (rep, id), by
     which rows fall into FOLDS parts in each of REPEATS random splits."""
+    rows = settle(fanned(rows))
     own = sums(rows, "g")
     whole = own.agg(*[F.sum(c).alias(f"{c}_all") for c in SUMS])
     named = lambda df, tag, *keep: df.select(*keep, *[F.col(c).alias(f"{c}_{tag}") for c in SUMS])

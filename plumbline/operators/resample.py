@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.ordered import rank0
+from plumbline.functions.ordered import fanned, rank0
 
 
 def draw(*key: str | int | Column) -> Column:
@@ -47,7 +47,7 @@ def weighted(items: DataFrame, stream: str, draws: int, key: str) -> DataFrame:
     """b, w and an item's columns, for each draw and item with w over zero.  Sum up by b (and more) at once: the draws are
     made beside the items, and only the sums move."""
     numbers = F.broadcast(items.sparkSession.range(draws).withColumnRenamed("id", "b"))  # `draws` rows
-    return items.crossJoin(numbers).withColumn("w", poisson(stream, "b", key)).where("w > 0")
+    return fanned(items).crossJoin(numbers).withColumn("w", poisson(stream, "b", key)).where("w > 0")
 
 
 def redrawn(units: DataFrame, stream: str, draws: int, order: str) -> DataFrame:
