@@ -474,14 +474,13 @@ def confirmed(proposed: DataFrame, texts: DataFrame, folder: str, words: int, si
         read = lambda t: [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
         asks, stands = ask.column("ask").to_numpy().astype(np.int64), rows.column("stands").to_numpy().astype(np.int64)
         nodes = np.unique(np.concatenate((asks, stands)))
-        place = np.searchsorted(nodes, stands)
-        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        place, root = np.searchsorted(nodes, stands), np.arange(len(nodes))
         for node, found in zip(np.searchsorted(nodes, asks), near_pairs(read(ask), read(rows), similarity), strict=True):
-            to = np.unique(place[found])
-            a.append(np.full(len(to), node))
-            b.append(to)
-        rows, roots = spanning(np.concatenate(a), np.concatenate(b), len(nodes))
-        return pa.table({"a": nodes[roots], "b": nodes[rows]})
+            met = np.append(root[place[found]], root[node])
+            if (met != met[0]).any():  # only trees are kept, never the links: a part of n near copies has n^2 of them
+                root[np.isin(root, met)] = met.min()
+        left = np.flatnonzero(root != np.arange(len(nodes)))
+        return pa.table({"a": nodes[root[left]], "b": nodes[left]})
 
     others = asked.unionByName(every).groupBy("component", "x", "y").applyInArrow(compare, "a long, b long")
     edges = materialize(stars.unionByName(others), folder, "wide_links")
