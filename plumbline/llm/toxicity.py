@@ -50,6 +50,8 @@ DRIFT = 1 / 30
 E_MAX = 1e-3
 THRESHOLD = 0.7
 WORD = re.compile(r"\w+")
+#: Words whose scores a worker remembers; beyond that it starts anew, so its memory is bounded.
+REMEMBERED = 200_000
 
 
 @dataclass
@@ -103,7 +105,7 @@ def weigh(words: list[str], weights: dict[str, float], memo: dict[str, float]) -
         if s is None:
             own = weights.get(w, 0.0)
             s = max(own, *(weights.get(w[:n] + "*", 0.0) for n in STEMS)) or own
-            if len(memo) >= 500_000:
+            if len(memo) >= REMEMBERED:
                 memo.clear()
             memo[w] = s
         if s:
