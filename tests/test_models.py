@@ -177,6 +177,23 @@ def test_half_widths_against_fits_on_the_rows_themselves(spark):
         assert got[held]["hw_row"] == pytest.approx(np.mean(reps), abs=2e-6)
 
 
+
+def test_half_widths_join_no_rows_and_count_residuals_of_any_size(spark):
+    """Rows meet lines by themselves (the multiplied rows were joined, and broadcast where their file was small), and residuals
+    over 2^48 millionths are counted like others."""
+    rng = np.random.default_rng(8)
+    rows = [(i, None if i % 50 == 49 else f"g{i % 4}", float(rng.integers(0, 9)), None if i % 40 == 7 else float(rng.normal())) for i in range(160)]
+    draw = R.draw("split", "rep", "id")
+    plain, huge = (folds.half_widths(spark.createDataFrame([(i, g, x, None if y is None else y * f) for i, g, x, y in rows], "id long, g string, x double, y double"), draw) for f in (1.0, 1e10))
+    assert "Join" not in plain._jdf.queryExecution().executedPlan().toString()
+    a, b = ({r["g"]: r for r in df.collect()} for df in (plain, huge))
+    assert sorted(a) == sorted(b) == ["g0", "g1", "g2", "g3"]
+    for g in a:
+        for c in ("hw_insample", "hw_group", "hw_row"):
+            assert b[g][c] == pytest.approx(1e10 * a[g][c], rel=1e-5)
+    assert folds.half_widths(spark.createDataFrame([], "id long, g string, x double, y double"), draw).count() == 0
+
+
 def panel(spark, shift=0, solar=0.0, drop=None):
     rng = np.random.default_rng(5)
     rows = []
