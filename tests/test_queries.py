@@ -71,3 +71,15 @@ def test_partitions_change_nothing(spark, small, name):
             spark.conf.set("spark.sql.shuffle.partitions", before)
 
     assert rows("1") == rows("8")
+
+
+def test_range_severity_where_residuals_are_huge(spark, small, tmp_path):
+    """Residuals over 2^48 millionths once left no half-width at all."""
+    c = duckdb.connect()
+    c.execute(f"COPY (SELECT * REPLACE (p_retailprice * 1e8 + p_partkey AS p_retailprice) FROM '{small}/part.parquet') TO '{tmp_path}/part.parquet' (FORMAT parquet)")
+    c.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet'")
+    want = {r[0]: r for r in c.execute(catalog.oracles()["r3_range_severity"]).fetchall()}
+    got = {r["construction"]: tuple(r) for r in catalog.queries()["r3_range_severity"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(want) == {"insample", "group", "row"}
+    for name, row in want.items():
+        assert got[name][1:6] == pytest.approx(row[1:6], abs=0.02)
