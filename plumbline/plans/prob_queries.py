@@ -12,6 +12,7 @@ from plumbline.operators import resample as R
 from plumbline.plans.registry import query
 from plumbline.plans.tail_queries import _dk
 from plumbline.sources import tables as S
+from plumbline.sources.files import shipped
 
 TOP = f"{S.CHOICE}, top AS (SELECT vec_id, p, y, list_max(p) AS conf, list_position(p, list_max(p)) - 1 = y AS correct FROM choice)"
 _BINNED = "SELECT *, CAST(floor(((row_number() OVER (ORDER BY {v}, {k}) - 1 + 1) * {b} - 1) / count(*) OVER ()) AS INTEGER) AS bin FROM {t}"
@@ -196,9 +197,10 @@ r AS (SELECT b, sum(w * l) / sum(w) AS m FROM (SELECT b, l, {_TIMES('u')} AS w F
 SELECT round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM r""")
 def b5(spark: SparkSession, d: str) -> DataFrame:
     """2,000 draws by Poisson weights made beside the items."""
+    shipped(spark)
     items = S.binary_probs(spark, d).select("doc_id", F.pow(F.col("p") - F.col("y"), F.lit(2)).alias("l"))
-    sums = R.weighted(items, "items", R.DRAWS, "doc_id").groupBy("b").agg((F.sum(F.col("w") * F.col("l")) / F.sum("w")).alias("m"))
-    return R.interval(sums, "m")
+    sums = R.weighted_sums(items, "items", R.DRAWS, "doc_id", "l").where("w > 0")
+    return R.interval(sums.select("b", (F.col("s") / F.col("w")).alias("m")), "m")
 
 
 @query("a26_a27_histogram_percentiles", f"WITH {TOP} SELECT least(9, CAST(floor(conf * 10) AS INTEGER)) AS bin, count(*) AS n, round(quantile_cont(conf, 0.1), 6) AS p10, round(quantile_cont(conf, 0.5), 6) AS p50, round(quantile_cont(conf, 0.9), 6) AS p90 FROM top GROUP BY 1")

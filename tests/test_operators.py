@@ -236,3 +236,24 @@ def test_plateau_and_flat_signals(spark):
     assert 240 <= ends[1][0] <= 260 and 640 <= ends[1][1] <= 660
     got = {r["s"]: r for r in groups.signal_summary(df, "s", ["i"], "v").collect()}
     assert got[2]["mean"] == 5.0 and got[2]["kurtosis"] is None and got[3]["mean"] is None
+
+
+def test_sums_of_weighted_items_are_those_of_draws_made_one_by_one(spark):
+    """Draws times items were once a join whose condition hashed each pair a dozen times."""
+    import hashlib
+
+    keys = [str(k) for k in (0, 7, 42, 99, 100, 12345, 10**12)] + ["\u00e4" * 30, "x" * 60, None]
+    items = [(k, None if i == 2 else i + 0.5) for i, k in enumerate(keys)]
+    df = spark.createDataFrame(items, "k string, v double").repartition(3)
+    got = {r["b"]: (r["w"], r["s"]) for r in resample.weighted_sums(df, "items", 120, "k", "v").collect()}
+    shown = {(r["b"], r["k"]): r["d"] for r in df.crossJoin(spark.range(120).withColumnRenamed("id", "b")).select("b", "k", resample.draw("items", "b", "k").alias("d")).collect()}
+    assert len(got) == 120
+    for b, (w, total) in got.items():
+        times = []
+        for k in keys[:-1]:
+            bits = int(hashlib.md5(f"items|{b}|{k}".encode()).hexdigest()[:8], 16)
+            assert bits == shown[b, k]
+            times.append(sum((bits + 0.5) / 2**32 >= c for c in resample.POISSON))
+        assert w == sum(times)
+        there = [(t, v) for t, (_, v) in zip(times, items, strict=False) if v is not None]
+        assert total is None if not any(t for t, _ in there) else total == pytest.approx(sum(t * v for t, v in there))
