@@ -59,6 +59,10 @@ def s7(spark: SparkSession, d: str) -> DataFrame:
     return back.select(F.col("run").cast("long").alias("user_id"), F.size("x").cast("long").alias("samples"), F.round(total, 4).alias("total"), F.round(F.element_at("x", 1), 6).alias("first"), "wear")
 
 
+#: Records of a file of the log, about 25 MB.
+LOG_ROWS = 100_000
+
+
 @query("s8_s15_log_and_resume", """WITH r AS (SELECT event_id, user_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
 last AS (SELECT user_id, k FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM r WHERE event_type <> 'error') WHERE n = 1)
 SELECT u.user_id, k IS NOT NULL AS done, k FROM (SELECT DISTINCT user_id FROM r) u LEFT JOIN last USING (user_id) UNION ALL SELECT -1, false, NULL""")
@@ -72,7 +76,9 @@ def s8(spark: SparkSession, d: str) -> DataFrame:
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), files.request_hash("user_id").alias("req_hash"), status.alias("status"),
         F.struct(F.col("event_id").cast("string").alias("id")).alias("meta"), F.struct(F.get_json_object("props", "$.k").alias("choice")).alias("response"),
     )
-    e.select(F.to_json(record).alias("value")).repartition(3).write.text(path)
+    # in the order of events, so that of two at the same time the later one stands last
+    parts = max(3, -(-e.count() // LOG_ROWS))
+    e.select("event_id", "ts", "user_id", "event_type", "props").repartitionByRange(parts, "event_id").sortWithinPartitions("event_id").select(F.to_json(record).alias("value")).write.text(path)
     done = files.last_records(spark, path).select("req_hash", F.col("response.choice").cast("long").alias("k"))
     todo = files.pending(requests, done).select("user_id", F.lit(False).alias("done"), F.lit(None).cast("long").alias("k"))
     return requests.join(done, "req_hash").select("user_id", F.lit(True).alias("done"), "k").unionByName(todo)

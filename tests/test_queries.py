@@ -83,3 +83,19 @@ def test_range_severity_where_residuals_are_huge(spark, small, tmp_path):
     assert set(got) == set(want) == {"insample", "group", "row"}
     for name, row in want.items():
         assert got[name][1:6] == pytest.approx(row[1:6], abs=0.02)
+
+
+def test_the_log_is_in_the_order_of_events_and_in_files_of_bounded_size(spark, small, tmp_path, monkeypatch):
+    """It once went to three files whatever its size, and records of one time stood in any order."""
+    from plumbline.plans import source_queries
+
+    made = []
+    monkeypatch.setattr(source_queries, "LOG_ROWS", 50, raising=False)
+    monkeypatch.setattr(source_queries, "shared", lambda _: made.append(tmp_path / "made") or f"{tmp_path}/made")
+    c = duckdb.connect()
+    c.execute(f"COPY (SELECT * REPLACE (TIMESTAMP '2024-01-01 00:00:00' AS ts, user_id % 9 AS user_id) FROM '{small}/events.parquet') TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    got = sorted(tuple(map(str, r)) for r in catalog.queries()["s8_s15_log_and_resume"](spark, str(tmp_path)).select("user_id", "done", "k").collect())
+    assert got == sorted(tuple(map(str, r)) for r in c.execute(catalog.oracles()["s8_s15_log_and_resume"]).fetchall())
+    lines = [len(f.read_text().splitlines()) for f in made[0].glob("log/part-*")]
+    assert sum(lines) == c.execute("SELECT count(*) FROM events").fetchone()[0] and max(lines) <= 100
