@@ -123,6 +123,15 @@ def test_held_out_cases_and_their_coverage(spark):
     assert table["two", "C_grp"]["worn"] == pytest.approx(hit[one["y"] >= 0.6].groupby(one["seed"]).mean().mean())
 
 
+def test_held_out_cases_are_fitted_by_many_tasks(spark):
+    """All cells once went to one task, as their rows are few."""
+    rows = [(k, f"c{k % 6}", float(k % 7), float(k % 5)) for k in range(36)]
+    df = spark.createDataFrame(rows, "id long, case string, y double, u double")
+    scored = clustered.held_out(df, {v: ["u"] for v in ("one", "two", "three")}, seeds=1, trees=2)
+    got = scored.groupBy(F.spark_partition_id().alias("p")).agg(F.count_distinct("variant", "case").alias("cells")).collect()
+    assert sum(r["cells"] for r in got) == 18 and len(got) >= 9
+
+
 def test_rows_promise_too_much_when_groups_share_an_effect_and_leaks_make_it_worse(spark):
     got = {(r["split"], r["rho"]): r for r in clustered.simulation(spark, rhos=[0.0, 0.8], repetitions=24, leaks=(0.0, 1.0), trees=40).collect()}
     assert got["group", 0.8]["coverage"] > got["row", 0.8]["coverage"] + 0.05
