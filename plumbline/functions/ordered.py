@@ -26,6 +26,20 @@ def rank0(df: DataFrame, order: list[str], name: str = "rank0") -> DataFrame:
     return running(df, order, F.lit(1).cast("long"), name)
 
 
+def quantile(df: DataFrame, value: str, q: float, name: str) -> DataFrame:
+    """One row with the exact q-quantile of a column, interpolated as `percentile` does it; missing values are left out.
+
+    `percentile` gathers all different values in one task.  Here equal values are counted and the counts ranked, so that a
+    task holds one range of values."""
+    counts = df.select(F.col(value).cast("double").alias("x_")).where("x_ IS NOT NULL").groupBy("x_").agg(F.count(F.lit(1)).alias("n_"))
+    ranked = running(counts, ["x_"], F.col("n_"), "below_")
+    at = F.broadcast(ranked.agg(((F.sum("n_") - 1) * F.lit(q)).alias("at_")))  # one row
+    upto = lambda place: F.max(F.when(F.col("below_") <= place, F.col("x_")))
+    ends = ranked.crossJoin(at).agg(F.max("at_").alias("at_"), upto(F.floor("at_")).alias("a_"), upto(F.ceil("at_")).alias("z_"))
+    between = (F.ceil("at_") - F.col("at_")) * F.col("a_") + (F.col("at_") - F.floor("at_")) * F.col("z_")
+    return ends.select(F.when(F.col("a_") == F.col("z_"), F.col("a_")).otherwise(between).alias(name))
+
+
 def fanned(df: DataFrame) -> DataFrame:
     """The rows dealt to at least as many tasks as there are cores: for few narrow rows that are about to be multiplied in
     place, where their own number of partitions says nothing about the work."""

@@ -21,6 +21,14 @@ def test_global_ranks_need_no_single_sort(spark):
     assert [r["rank0"] for r in got] == list(range(500))
 
 
+@pytest.mark.parametrize("values", [[], [None], [3.0], [1.0, 2.0], [0.5, None, 0.5, 0.1, 7.25, -3.0, 1e300], [0.0, -0.0, math.inf, math.nan, -math.inf, math.nan], [float(i % 37) / 7 for i in range(400)]])
+def test_quantile_is_the_percentile_without_its_single_task(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for q in (0.0, 0.3, 0.8, 1.0):
+        want, got = df.agg(F.percentile("v", F.lit(q))).first()[0], ordered.quantile(df, "v", q, "t").first()[0]
+        assert got == want or repr(got) == repr(want)  # NaN
+
+
 def test_bounded_fill_stops_at_its_reach(spark):
     df = spark.createDataFrame([(0, i, v) for i, v in enumerate([1.0, None, None, None, None, 2.0])], "k int, t int, v double")
     filled, own = panel.bounded_fill("v", 3, by=["k"], order="t")

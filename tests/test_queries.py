@@ -99,3 +99,9 @@ def test_the_log_is_in_the_order_of_events_and_in_files_of_bounded_size(spark, s
     assert got == sorted(tuple(map(str, r)) for r in c.execute(catalog.oracles()["s8_s15_log_and_resume"]).fetchall())
     lines = [len(f.read_text().splitlines()) for f in made[0].glob("log/part-*")]
     assert sum(lines) == c.execute("SELECT count(*) FROM events").fetchone()[0] and max(lines) <= 100
+
+
+def test_range_severity_gathers_no_values_in_one_task(spark, small):
+    """The price that a fifth of the parts reach was the percentile of a single task that held every different price."""
+    df = catalog.queries()["r3_range_severity"](spark, small)
+    assert "percentile(" not in df._jdf.queryExecution().executedPlan().toString()
