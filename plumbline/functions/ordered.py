@@ -26,18 +26,24 @@ def rank0(df: DataFrame, order: list[str], name: str = "rank0") -> DataFrame:
     return running(df, order, F.lit(1).cast("long"), name)
 
 
-def quantile(df: DataFrame, value: str, q: float, name: str) -> DataFrame:
-    """One row with the exact q-quantile of a column, interpolated as `percentile` does it; missing values are left out.
-
-    `percentile` gathers all different values in one task.  Here equal values are counted and the counts ranked, so that a
-    task holds one range of values."""
-    counts = df.select(F.col(value).cast("double").alias("x_")).where("x_ IS NOT NULL").groupBy("x_").agg(F.count(F.lit(1)).alias("n_"))
-    ranked = running(counts, ["x_"], F.col("n_"), "below_")
-    at = F.broadcast(ranked.agg(((F.sum("n_") - 1) * F.lit(q)).alias("at_")))  # one row
-    upto = lambda place: F.max(F.when(F.col("below_") <= place, F.col("x_")))
-    ends = ranked.crossJoin(at).agg(F.max("at_").alias("at_"), upto(F.floor("at_")).alias("a_"), upto(F.ceil("at_")).alias("z_"))
-    between = (F.ceil("at_") - F.col("at_")) * F.col("a_") + (F.col("at_") - F.floor("at_")) * F.col("z_")
-    return ends.select(F.when(F.col("a_") == F.col("z_"), F.col("a_")).otherwise(between).alias(name))
+def quantile(df: DataFrame, value: str, qs: dict[str, float], *by: str) -> DataFrame:
+    """by and, by name, the exact quantiles of a column, interpolated as `percentile` does it; missing values are left out.
+
+    `percentile` gathers all different values of a group in one task.  Here equal values are counted and the counts ranked, so
+    that a task holds one range of values."""
+    counts = df.select(*by, F.col(value).cast("double").alias("x_")).where("x_ IS NOT NULL").groupBy(*by, "x_").agg(F.count(F.lit(1)).alias("n_"))
+    ranked = running(counts, [*by, "x_"], F.col("n_"), "below_")
+    groups = ranked.groupBy(*[F.col(c).alias(f"{c}_of_") for c in by]).agg((F.sum("n_") - 1).alias("last_"), F.min("below_").alias("first_"))
+    each = ranked.join(groups, [F.col(c).eqNullSafe(F.col(f"{c}_of_")) for c in by]) if by else ranked.crossJoin(F.broadcast(groups))  # one row
+    upto = lambda place: F.max(F.when(F.col("below_") - F.col("first_") <= place, F.col("x_")))
+    at = {name: F.col("last_") * F.lit(q) for name, q in qs.items()}
+    ends = each.groupBy(*by).agg(F.max("last_").alias("last_"), *[upto(f(c)).alias(f"{name}_{end}_") for name, c in at.items() for end, f in (("low", F.floor), ("high", F.ceil))])
+
+    def between(name: str, c: Column) -> Column:
+        low, high = F.col(f"{name}_low_"), F.col(f"{name}_high_")
+        return F.when(low == high, low).otherwise((F.ceil(c) - c) * low + (c - F.floor(c)) * high).alias(name)
+
+    return ends.select(*by, *[between(name, c) for name, c in at.items()])
 
 
 def fanned(df: DataFrame) -> DataFrame:

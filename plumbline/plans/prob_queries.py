@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.ordered import quantile
+from plumbline.functions.settle import settle
 from plumbline.operators import probs as C
 from plumbline.operators import resample as R
 from plumbline.plans.registry import query
@@ -207,6 +209,6 @@ def b5(spark: SparkSession, d: str) -> DataFrame:
 def a26(spark: SparkSession, d: str) -> DataFrame:
     """Ten equal bins of [0, 1], the last one closed."""
     bin_ = F.least(F.lit(9), (F.width_bucket("conf", F.lit(0.0), F.lit(1.0), F.lit(10)) - 1).cast("int"))
-    q = F.percentile("conf", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    g = top(spark, d).groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"), q.alias("q"))
-    return g.select("bin", "n", *[F.round(F.element_at("q", i + 1), 6).alias(f"p{p}") for i, p in enumerate((10, 50, 90))])
+    rows = settle(top(spark, d).select(bin_.alias("bin"), "conf"))
+    g = rows.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).join(quantile(rows, "conf", {"p10": 0.1, "p50": 0.5, "p90": 0.9}, "bin"), "bin", "left")
+    return g.select("bin", "n", *[F.round(c, 6).alias(c) for c in ("p10", "p50", "p90")])

@@ -25,10 +25,17 @@ def test_global_ranks_need_no_single_sort(spark):
 def test_quantile_is_the_percentile_without_its_single_task(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "v double")
     for q in (0.0, 0.3, 0.8, 1.0):
-        want, got = df.agg(F.percentile("v", F.lit(q))).first()[0], ordered.quantile(df, "v", q, "t").first()[0]
+        want, got = df.agg(F.percentile("v", F.lit(q))).first()[0], ordered.quantile(df, "v", {"t": q}).first()[0]
         assert got == want or repr(got) == repr(want)  # NaN
 
 
+def test_quantiles_of_groups(spark):
+    rows = [(None if i % 5 == 4 else i % 5, None if i % 11 == 3 else float(i * 37 % 101) / 9) for i in range(300)]
+    df = spark.createDataFrame(rows, "g long, v double")
+    want = {r["g"]: tuple(r["q"]) for r in df.groupBy("g").agg(F.percentile("v", F.array(F.lit(0.1), F.lit(0.9))).alias("q")).collect()}
+    assert {r["g"]: (r["low"], r["high"]) for r in ordered.quantile(df, "v", {"low": 0.1, "high": 0.9}, "g").collect()} == want
+
+
 def test_bounded_fill_stops_at_its_reach(spark):
     df = spark.createDataFrame([(0, i, v) for i, v in enumerate([1.0, None, None, None, None, 2.0])], "k int, t int, v double")
     filled, own = panel.bounded_fill("v", 3, by=["k"], order="t")

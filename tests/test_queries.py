@@ -105,3 +105,8 @@ def test_range_severity_gathers_no_values_in_one_task(spark, small):
     """The price that a fifth of the parts reach was the percentile of a single task that held every different price."""
     df = catalog.queries()["r3_range_severity"](spark, small)
     assert "percentile(" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_levels_of_bins_gather_no_values_in_one_task(spark, small):
+    df = catalog.queries()["a26_a27_histogram_percentiles"](spark, small)
+    assert "percentile(" not in df._jdf.queryExecution().executedPlan().toString()
